@@ -174,111 +174,107 @@ def segments(texts: pa.LargeStringArray, model: PieceModel) -> tuple[np.ndarray,
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """``piece, id, cost``: as many rows as the model has pieces; cost is the negated score."""
-    rows = [(p, i, -float(model.scores[i])) for p, i in model.usable.items()]
-    return spark.createDataFrame(rows, "piece string, id int, cost double")
+    """``piece, cost, rank``: as many rows as the model has pieces.
 
+    cost is the negated score, rank its place among the model's scores."""
+    place = {c: i for i, c in enumerate(sorted({-model.scores[i] for i in model.usable.values()}))}
+    rows = [(p, -float(model.scores[i]), place[-model.scores[i]]) for p, i in model.usable.items()]
+    return spark.createDataFrame(rows, "piece string, cost double, rank long")
 
-def lattice(segs: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """``seg, n, edges``: edges (cost, s, e, id) of each segment, cheapest and leftmost first.
 
-    Substrings of up to ``longest`` characters are exploded and joined to the
-    piece table, which is broadcast: its size is fixed by the model.  Characters
-    without a piece keep an edge without id."""
-    size = F.char_length("seg")
-    subs = F.flatten(
+def substrings(segs: DataFrame, least: int, longest: int) -> DataFrame:
+    """``seg, n, s, e, sub``: every substring of ``least`` to ``longest`` characters."""
+    spans = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), size),
-            lambda s: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), F.char_length("seg") - s + 1)),
-                lambda k: F.struct((s - 1).alias("s"), (s - 1 + k).alias("e"), F.substring(F.col("seg"), s, k).alias("sub")),
-            ),
+            F.sequence(F.lit(0), F.char_length("seg") - least),
+            lambda s: F.transform(F.sequence(s + least, F.least(s + longest, F.char_length("seg"))), lambda e: F.struct(s.alias("s"), e.alias("e"))),
         )
     )
-    subs = segs.select("seg", "n", F.explode(subs).alias("x")).select("seg", "n", "x.s", "x.e", "x.sub")
-    hit = subs.join(F.broadcast(pieces), subs["sub"] == pieces["piece"], "left").where("id is not null or e = s + 1")
-    edge = F.struct(F.col("cost"), F.col("s"), F.col("e"), F.col("id"))
-    return hit.groupBy("seg", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-
-
-def _let(value, body):
-    """body(value) with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def fold_bpe():
-    """Boundaries of the symbols after all merges, from the columns seg and edges."""
-    n = F.char_length("seg")
-    merges = F.filter("edges", lambda x: x["e"] > x["s"] + 1)
-
-    def step(state, _):
-        b = state["b"]
-
-        def joins(x):
-            k = F.array_position(b, x["s"])
-            return (k > 0) & (F.get(b, (k + 1).cast("int")) == x["e"])
-
-        def apply(hit):
-            mid = F.get(b, F.array_position(b, hit["s"]).cast("int"))
-            left = F.array_remove(b, mid)
-            open_ = F.filter(state["c"], lambda x: (x["s"] != mid) & (x["e"] != mid) & ((x["s"] != hit["s"]) | (x["e"] != hit["e"])))
-            return F.when(hit.isNull(), state).otherwise(F.struct(left.alias("b"), open_.alias("c")))
-
-        return F.when(F.size(state["c"]) == 0, state).otherwise(_let(F.get(F.filter(state["c"], joins), F.lit(0)), apply))
-
-    start = F.struct(F.sequence(F.lit(0), n).alias("b"), merges.alias("c"))
-    return F.when(F.size(merges) == 0, F.sequence(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["b"]))
+    sub = F.substring(F.col("seg"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s"))
+    return segs.select("seg", "n", F.explode(spans).alias("x")).select("seg", "n", "x.s", "x.e", sub.alias("sub"))
+
+
+def lattice(segs: DataFrame, pieces: DataFrame, model: PieceModel) -> DataFrame:
+    """``seg, n, edges``: the pieces found in each segment, at most 48 characters long.
+
+    Substrings of bounded length are exploded, joined to the piece table (which
+    is broadcast: its size is fixed by the model) and grouped by segment.  Edges
+    of a unigram model are (s, e, cost), those of a BPE model have two characters
+    or more and are packed as rank << 16 | s << 8 | e, so that ascending order
+    is that of the merges: best score first, then leftmost."""
+    bpe = model.kind == BPE
+    subs = substrings(segs.where("char_length(seg) > 1") if bpe else segs, 2 if bpe else 1, model.longest)
+    # the first substring of a segment stays without a piece too, so that no segment is lost
+    hit = subs.join(F.broadcast(pieces), subs["sub"] == pieces["piece"], "left").where("rank is not null or s = 0")
+    if not bpe:
+        return hit.groupBy("seg", "n").agg(F.collect_list(F.when(F.col("cost").isNotNull(), F.struct("s", "e", "cost"))).alias("edges"))
+    packed = F.shiftleft("rank", 16) + F.col("s") * 256 + F.col("e")
+    grouped = hit.groupBy("seg", "n").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
+    return grouped.unionByName(segs.where("char_length(seg) = 1").select("seg", "n", F.array().cast("array<bigint>").alias("edges")))
+
+
+#: One pass finds the best edge that joins two neighbouring symbols; the set of
+#: symbol boundaries is a bit mask, whose sign bit says that the pass is done.
+FOLD_BPE = """
+aggregate(sequence(1, greatest(1, char_length(seg) - 1)), shiftleft(1L, char_length(seg) + 1) - 1L, (mask, i) ->
+  aggregate(edges, mask, (st, x) ->
+    if(st < 0, st,
+      if((shiftright(st, cast(shiftright(x, 8) & 255 as int)) & 1) = 1
+         and (shiftright(st, cast(x & 255 as int)) & 1) = 1
+         and bit_count(st & (shiftleft(1L, cast(x & 255 as int)) - shiftleft(1L, cast((shiftright(x, 8) & 255) + 1 as int)))) = 1,
+        (st & ~(shiftleft(1L, cast(x & 255 as int)) - shiftleft(1L, cast((shiftright(x, 8) & 255) + 1 as int)))) | (-9223372036854775807L - 1),
+        st))) & 9223372036854775807L)
+"""
 
 
 def fold_viterbi(unknown_cost: float):
-    """Boundaries of the cheapest path; ties go to the longer last piece.
+    """Columns for two steps: the table of best paths, then the boundaries as a mask.
 
-    State: for every position its cost and the position before it."""
+    The table has for every position the cost of the best path to it and the
+    position before; ties go to the longer last piece."""
     n = F.char_length("seg")
 
     def step(state, e):
         def best(acc, x):
-            cost = F.get(state, x["s"])["cost"] + F.coalesce(x["cost"], F.lit(unknown_cost))
+            cost = F.get(state, x["s"])["cost"] + x["cost"]
             better = (x["e"] == e) & (acc["cost"].isNull() | (cost < acc["cost"]) | ((cost == acc["cost"]) & (x["s"] < acc["at"])))
             return F.when(better, F.struct(cost.alias("cost"), x["s"].alias("at"))).otherwise(acc)
 
+        # a character without a piece of its own is an unknown one
+        known = F.exists("edges", lambda x: (x["e"] == e) & (x["s"] == e - 1))
         none = F.struct(F.lit(None).cast("double").alias("cost"), F.lit(-1).alias("at"))
-        return F.concat(state, F.array(F.aggregate("edges", none, best)))
+        single = F.struct((F.get(state, e - 1)["cost"] + unknown_cost).alias("cost"), (e - 1).alias("at"))
+        return F.concat(state, F.array(F.aggregate("edges", F.when(known, none).otherwise(single), best)))
 
     first = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(-1).alias("at")))
     table = F.aggregate(F.sequence(F.lit(1), n), first, step)
+    one = F.lit(1).cast("long")
+
+    def bit(at):
+        return F.call_function("shiftleft", one, at)
 
-    def back(path, _):
-        at = F.get(F.col("table"), F.get(path, F.lit(0)))["at"]
-        return F.when(F.get(path, F.lit(0)) == 0, path).otherwise(F.concat(F.array(at), path))
+    def back(state, _):
+        at = F.get(F.col("table"), state["at"])["at"]
+        return F.when(state["at"] == 0, state).otherwise(F.struct(at.alias("at"), state["mask"].bitwiseOR(bit(at)).alias("mask")))
 
-    return table, F.aggregate(F.sequence(F.lit(1), n), F.array(n), back)
+    start = F.struct(n.alias("at"), bit(n).alias("mask"))
+    return table, F.aggregate(F.sequence(F.lit(1), n), start, back, lambda st: st["mask"])
 
 
 def fold(edges: DataFrame, model: PieceModel) -> DataFrame:
-    """``seg, n, ids`` from the lattice."""
+    """``seg, n, mask``: the boundaries of each segment's symbols, bit i before character i."""
     if model.kind == BPE:
-        cut = edges.select("seg", "n", "edges", fold_bpe().alias("b"))
-    else:
-        table, path = fold_viterbi(unk_cost(model))
-        cut = edges.select("seg", "n", "edges", table.alias("table")).select("seg", "n", "edges", path.alias("b"))
-    if model.byte_ids:
-        low = model.byte_ids[0]
-        if model.byte_ids != list(range(low, low + 256)):
-            raise ValueError("byte pieces must have consecutive ids")
-
-        def fallback(s):
-            code = F.hex(F.encode(F.substring(F.col("seg"), s + 1, 1), "UTF-8"))
-            return F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda k: F.conv(F.substring(code, (k * 2 + 1).cast("int"), 2), 16, 10).cast("int") + low)
-    else:
-        def fallback(s):
-            return F.array(F.lit(model.unk))
+        return edges.select("seg", "n", F.expr(FOLD_BPE).alias("mask"))
+    table, mask = fold_viterbi(unk_cost(model))
+    return edges.select("seg", "n", table.alias("table")).select("seg", "n", mask.alias("mask"))
 
-    def ids(i):
-        s, e = F.get(F.col("b"), i), F.get(F.col("b"), i + 1)
-        return _let(F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"], lambda x: F.when(x.isNull(), fallback(s)).otherwise(F.array(x)))
 
-    return cut.select("seg", "n", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), ids)).alias("ids"))
+def symbol_ids(seg: str, bounds: list[int], model: PieceModel) -> list[int]:
+    out: list[int] = []
+    for s, e in zip(bounds, bounds[1:], strict=False):
+        k = model.usable.get(seg[s:e])
+        out += [k] if k is not None else [model.byte_ids[b] for b in seg[s:e].encode()] if model.byte_ids else [model.unk]
+    return out
 
 
 def unk_cost(model: PieceModel) -> float:
@@ -326,11 +322,7 @@ def encode_long(seg: str, model: PieceModel) -> list[int]:
         while bounds[-1]:
             bounds.append(came[bounds[-1]])
         bounds.reverse()
-    out: list[int] = []
-    for s, e in zip(bounds, bounds[1:], strict=False):
-        k = usable.get(seg[s:e])
-        out += [k] if k is not None else [model.byte_ids[b] for b in seg[s:e].encode()] if model.byte_ids else [model.unk]
-    return out
+    return symbol_ids(seg, bounds, model)
 
 
 def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()) -> DataFrame:
@@ -343,6 +335,14 @@ def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()
             _, codes, segs = segments(texts, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(segs, pa.string()), pa.array(np.bincount(codes, minlength=len(segs)).astype(np.int64))], names=["seg", "n"])
 
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ids of the symbols between the folded boundaries."""
+        for batch in batches:
+            ids = []
+            for seg, mask in zip(batch.column("seg").to_pylist(), batch.column("mask").to_pylist(), strict=True):
+                ids.append(symbol_ids(seg, [i for i in range(len(seg) + 1) if mask >> i & 1], shared.value))
+            yield pa.RecordBatch.from_arrays([batch.column("seg"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["seg", "n", "ids"])
+
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [encode_long(x, shared.value) for x in batch.column("seg").to_pylist()]
@@ -351,8 +351,9 @@ def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()
     found = docs.select("text").mapInArrow(count, "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n"))
     found = materialize(found)
     short = F.char_length("seg") <= s.lattice_chars
-    folded = fold(lattice(found.where(short), piece_table(spark, model), model.longest), model)
-    return materialize(folded.unionByName(found.where(~short).mapInArrow(rest, "seg string, n long, ids array<int>")))
+    folded = fold(lattice(found.where(short), piece_table(spark, model), model), model).select("seg", "n", "mask")
+    ids = "seg string, n long, ids array<int>"
+    return materialize(folded.mapInArrow(resolve, ids).unionByName(found.where(~short).mapInArrow(rest, ids)))
 
 
 def _packed(table: pa.Table) -> tuple:
