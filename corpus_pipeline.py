@@ -1,14 +1,58 @@
 """The corpus pipeline: stages over documents, each written and read again.
 
-Counted as part of the subpackage quire.llm."""
+Counted as part of the subpackage quire.llm.  Every stage takes (spark, docs,
+sf_dir) and works on all rows that its predecessor kept.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quire.llm import near_dup, pieces, quality
 from quire.llm.line_dedup import dedup_lines
+from quire.llm.mixing import mixed_rows
 from quire.llm.store import materialize, read_table
 
-STAGES: list = []
-#: Chosen-path search and a fitted classifier have no SQL form; see tests/llm/test_pipeline.py.
+
+def keep_quality(spark, docs, sf_dir):
+    """Documents whose score reaches the classifier's threshold; the others go."""
+    return quality.keep_good(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark, docs, sf_dir):
+    """Every document with its repeated lines dropped and n_chars counted anew."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = dedup_lines(docs, carry=others).withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def keep_one_of_each_group(spark, docs, sf_dir):
+    """The smallest doc_id of each group of similar texts, once."""
+    groups = near_dup.join_similar(docs)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__stay")).distinct()
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Documents as often as the mix takes them; those it does not take go."""
+    return mixed_rows(docs)
+
+
+def encode_pieces(spark, docs, sf_dir):
+    """Every remaining row as piece ids, with a digest of the text decoded from them."""
+    return pieces.encode_and_check(docs.select("doc_id", "text"), pieces.public_model())
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("mixing sources", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
+]
+#: A fitted classifier, chosen-path search and a tokenizer have no SQL form; the
+#: stages are tested against brute force in tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 

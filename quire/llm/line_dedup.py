@@ -25,8 +25,8 @@ def line_key(line):
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """``doc_id, text, n_lines, n_dropped`` for every row of ``docs(doc_id, text)``.
+def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, text, n_lines, n_dropped, <carry>`` for every row of ``docs(doc_id, text)``.
 
     * Null or empty text: one empty line, which is kept.
     * A line repeated inside one document only is kept; so are all lines whose
@@ -34,11 +34,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     * In the smallest id that holds a repeated key all of its lines stay.
     * Rows that share a doc_id count as one document; each is returned.  Rows
       without a doc_id count together as one document that is never the smallest.
-    * Other columns of ``docs`` are ignored; an empty table gives an empty one.
+    * Columns of ``docs`` other than those in ``carry`` are ignored; an empty
+      table gives an empty one.
     """
+    rest = [F.struct(*[F.col(c) for c in carry]).alias("rest")] if carry else []
+    kept_rest = ["rest.*"] if carry else []
     # th tells rows apart that share an id but not a text: positions are per text
-    base = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).select(
-        "doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines")
+    base = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *rest).select(
+        "doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines"), *["rest"] * bool(carry)
     )
     keyed = materialize(
         base.select("doc_id", "th", F.posexplode("lines").alias("pos", "line"))
@@ -68,6 +71,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n").alias("text"),
         n.cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *kept_rest,
     )
 
 

@@ -23,6 +23,8 @@ MAX_RATE = 2.0
 NEWTON_STEPS = 60
 #: u has 52 bits; a level of the threshold search looks at 12 of them.
 LEVEL = 4096
+#: Sources up to which their table is broadcast.
+SMALL = 100_000
 
 
 def word_count(text):
@@ -73,25 +75,24 @@ def newton_rates(targets: DataFrame, max_rate=MAX_RATE, steps=NEWTON_STEPS) -> D
     return targets.withColumn("rate", F.when((F.col("source_size") > 0) & (target > 0), F.least(F.exp(tilt), F.lit(float(max_rate)))).otherwise(F.lit(0.0)))
 
 
-def mix(docs: DataFrame, **params) -> DataFrame:
-    """``doc_id, source, size, source_size, target, rate, copies, taken`` for every row.
+def place_of(doc_id):
+    """A document's place in its source's order: 52 bits of a hash of the id."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("long")
 
-    ``taken = copies * size``.  A copy is taken by rank of a hash of the id, so
-    reruns agree; rows that share source and id share their number of copies.
 
-    * Null text: size 0; null source: a source of its own, last in order; null
-      doc_id: hashed as the text 'null'.  Empty table: empty result.
-    * A source whose words are all in one document is rounded to whole copies.
-    * Other columns of ``docs`` are ignored.
-    """
-    u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("long")
-    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), u.alias("u")))
+def mixing_plan(sized: DataFrame, **params) -> tuple[DataFrame, bool]:
+    """``s, source_size, target, rate, base, last`` per source, and whether that is
+    small enough to broadcast, from ``sized(doc_id, source, size, u)``.
+
+    A document is taken ``base`` times, and once more if its place is at most ``last``."""
     rates = newton_rates(source_targets(sized, **params))
     goal = materialize(
         rates.withColumn("base", F.floor("rate"))
         .withColumn("extra", (F.col("rate") - F.col("base")) * F.col("source_size"))
         .withColumnRenamed("source", "s")
     )
+    # one row per source: broadcast only while that stays under a checked bound
+    small = goal.limit(SMALL + 1).count() <= SMALL
 
     def with_goal(df, table):
         return df.join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -135,10 +136,50 @@ def mix(docs: DataFrame, **params) -> DataFrame:
         goal.alias("g").join(edge.alias("e"), F.col("g.s").eqNullSafe(F.col("e.s")), "left")
         .select("g.s", "source_size", "target", "rate", "base", F.coalesce("last", F.lit(1 << 53)).alias("last"))
     )
-    # without an edge the extra words are all of the source, or none
-    more = F.when((F.col("u") <= F.col("last")) & (F.col("rate") > F.col("base")), 1).otherwise(0)
-    out = with_goal(sized, plan).withColumn("copies", (F.col("base") + more).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return plan, small
+
+
+def _copies(p: str, u):
+    """Copies of a document by the plan columns below ``p``; without an edge ``last`` is past every place."""
+    more = F.when((u <= F.col(f"{p}.last")) & (F.col(f"{p}.rate") > F.col(f"{p}.base")), 1).otherwise(0)
+    return (F.col(f"{p}.base") + more).cast("long")
+
+
+def _planned(df: DataFrame, plan: DataFrame, small: bool) -> DataFrame:
+    named = plan.select(F.col("s").alias("__mix_source"), F.struct("source_size", "target", "rate", "base", "last").alias("__mix"))
+    return df.join(F.broadcast(named) if small else named, F.col("source").eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place_of(F.col("doc_id")).alias("u")))
+
+
+def mix(docs: DataFrame, **params) -> DataFrame:
+    """``doc_id, source, size, source_size, target, rate, copies, taken`` for every row.
+
+    ``taken = copies * size``.  A copy is taken by rank of a hash of the id, so
+    reruns agree; rows that share source and id share their number of copies.
+
+    * Null text: size 0; null source: a source of its own, last in order; null
+      doc_id: hashed as the text 'null'.  Empty table: empty result.
+    * A source whose words are all in one document is rounded to whole copies.
+    * Other columns of ``docs`` are ignored.
+    """
+    sized = _sized(docs)
+    out = _planned(sized, *mixing_plan(sized, **params)).withColumn("copies", _copies("__mix", F.col("u")))
+    return out.select("doc_id", "source", "size", "__mix.source_size", "__mix.target", "__mix.rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    The plan has a row per source and is joined to the documents as they lie:
+    the texts are not shuffled."""
+    sized = _sized(docs)
+    names = docs.columns
+    out = _planned(docs, *mixing_plan(sized, **params)).withColumn("__copies", _copies("__mix", place_of(F.col("doc_id"))))
+    out = out.where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return out.select(*names)
 
 
 def op8_mixing(spark, sf_dir):
