@@ -33,6 +33,15 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return out.withColumn("needs_ocr", (F.size("lines") == 0) & (F.size("images") > 0))
 
 
+def _items(pages: DataFrame, column: str, number: str, item: str) -> DataFrame:
+    """The elements of a computed array column.
+
+    The outer form keeps the planner from inferring a filter on the array, which
+    it would push through the projections and so evaluate the layout once more
+    for every mention; empty pages go after the array has been unnested."""
+    return pages.select("doc_id", "page_no", F.posexplode_outer(column).alias(number, item)).where(F.col(number).isNotNull())
+
+
 @dataclass(frozen=True)
 class PdfFrames:
     """Lazy tables over files(doc_id, content); each reads only what it needs."""
@@ -75,18 +84,18 @@ class PdfFrames:
 
     @property
     def lines(self) -> DataFrame:
-        at = self.texts.select("doc_id", "page_no", F.posexplode("lines").alias("k", "l"))
+        at = _items(self.texts, "lines", "k", "l")
         return at.select("doc_id", "page_no", (F.col("k") + 1).alias("line_no"), "l.text", "l.x", "l.y")
 
     @property
     def tables(self) -> DataFrame:
-        at = self.texts.select("doc_id", "page_no", F.posexplode("tables").alias("table_no", "t"))
+        at = _items(self.texts, "tables", "table_no", "t")
         return at.select("doc_id", "page_no", "table_no", "t.*")
 
     @property
     def cells(self) -> DataFrame:
-        rows = self.tables.select("doc_id", "page_no", "table_no", F.posexplode("cells").alias("row", "line"))
-        return rows.select("doc_id", "page_no", "table_no", "row", F.posexplode("line").alias("col", "text"))
+        rows = self.tables.select("doc_id", "page_no", "table_no", F.posexplode_outer("cells").alias("row", "line"))
+        return rows.select("doc_id", "page_no", "table_no", "row", F.posexplode_outer("line").alias("col", "text")).where("col is not null")
 
     @property
     def errors(self) -> DataFrame:
