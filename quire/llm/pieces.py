@@ -14,6 +14,7 @@ distinct segment and chunk.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,7 @@ from quire.llm.textops import chunks
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-COUNT_CHUNK = 16 << 20
+COUNT_CHUNK = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -374,8 +375,19 @@ def gather(starts: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return flat[np.repeat(starts - ends[:-1], n) + np.arange(ends[-1])]
 
 
-def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings()) -> DataFrame:
-    """``doc_id, ids`` of every row of ``docs(doc_id, text)``.
+def _columns(doc_id, bounds: np.ndarray, ids: np.ndarray, model: PieceModel | None) -> pa.RecordBatch:
+    """doc_id and ids; with a model also their number and a digest of the text decoded from them."""
+    values = pa.array(ids, pa.int32())
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+    if model is None:
+        return pa.RecordBatch.from_arrays([doc_id, lists], names=["doc_id", "ids"])
+    digest = [hashlib.sha256(x).hexdigest() for x in decode_ids(bounds, values, model)]
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(bounds)), lists, pa.array(digest, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+
+def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check: bool = False) -> DataFrame:
+    """``doc_id, ids`` of every row of ``docs(doc_id, text)``; with ``check`` also
+    ``n_tokens`` and ``decoded_sha256``, the digest of the text decoded from the ids.
 
     * Null and empty texts: no ids.  Every repeated row is returned; a null
       doc_id as null.  Other columns are ignored; an empty table: empty.
@@ -391,6 +403,7 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings()) -> Data
     packed = spark.sparkContext.broadcast(_packed(top.select("seg", "ids").toArrow()))
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string" if check else f"doc_id {kind}, ids array<int>"
 
     def look_up(texts):
         hashes, ends, flat = packed.value
@@ -407,11 +420,11 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings()) -> Data
             n = (ends[row + 1] - ends[row]) if len(row) else np.empty(0, np.int64)
             ids = gather(ends[row], n, flat) if len(row) else np.empty(0, np.int32)
             bounds = np.concatenate([[0], np.cumsum(n)])[offsets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+            yield _columns(batch.column("doc_id"), bounds, ids, shared.value if check else None)
 
     lean = docs.select("doc_id", "text")
     if whole:
-        return lean.mapInArrow(direct, f"doc_id {kind}, ids array<int>")
+        return lean.mapInArrow(direct, schema)
 
     def holed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments that are not shared leave -1 in ids and their text in holes."""
@@ -438,13 +451,14 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings()) -> Data
                     pieces = np.split(a, at)
                     a = np.concatenate([pieces[0], *[x for p, piece in zip(parts, pieces[1:], strict=True) for x in (np.array(p["ids"], np.int32), piece[1:])]])
                 out.append(a)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            bounds = np.concatenate([[0], np.cumsum([len(a) for a in out])]).astype(np.int64)
+            yield _columns(batch.column("doc_id"), bounds, np.concatenate(out), shared.value if check else None)
 
     # written, so that row numbers stay what they are
     first = materialize(lean.mapInArrow(holed, f"doc_id {kind}, ids array<int>, holes array<string>").withColumn("row", F.monotonically_increasing_id()))
     holes = first.select("row", F.posexplode("holes").alias("k", "seg"))
     parts = holes.join(table.select("seg", F.col("ids").alias("got")), "seg").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", F.col("got").alias("ids")))).alias("parts"))
-    return first.join(parts, "row", "left").select("doc_id", "ids", "parts").mapInArrow(fill, f"doc_id {kind}, ids array<int>")
+    return first.join(parts, "row", "left").select("doc_id", "ids", "parts").mapInArrow(fill, schema)
 
 
 def decode_ids(bounds: np.ndarray, ids: pa.Array, model: PieceModel) -> list[bytes]:
@@ -493,26 +507,13 @@ def public_model(path: str | None = None) -> PieceModel:
     return load(path)
 
 
+def encode_and_check(docs: DataFrame, model: PieceModel, s: Settings = Settings()) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every row, in one pass over the texts."""
+    return encode(docs, model, s, check=True)
+
+
 def op1_sentencepiece(spark, sf_dir, path: str | None = None):
     """Encode every text, decode the ids again and return both with a digest."""
     from quire.llm.store import read_table
 
     return encode_and_check(read_table(spark, sf_dir, "documents"), public_model(path))
-
-
-def encode_and_check(docs: DataFrame, model: PieceModel, s: Settings = Settings()) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256``: the digest is of the text decoded from ids."""
-    import hashlib
-
-    encoded = encode(docs, model, s)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bounds, ids = list_parts(batch.column("ids"))
-            digest = [hashlib.sha256(x).hexdigest() for x in decode_ids(bounds, ids, shared.value)]
-            cols = [batch.column("doc_id"), pa.array(np.diff(bounds)), batch.column("ids"), pa.array(digest, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
-
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string")
