@@ -20,7 +20,6 @@ def page_lines(content: bytes, password: str = "") -> list[list[str]]:
     return out
 
 
-@F.udtf(returnType="page_no int, line_no int, text string, x double, y double")
 class PdfLines:
     """SELECT ... FROM files, LATERAL pdf_lines(content): the lines of each file; none if it cannot be read."""
 
@@ -33,7 +32,6 @@ class PdfLines:
             return
 
 
-@F.pandas_udf("string")
 def pdf_text(content: pd.Series) -> pd.Series:
     def one(b):
         try:
@@ -44,7 +42,6 @@ def pdf_text(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-@F.pandas_udf("int")
 def pdf_page_count(content: pd.Series) -> pd.Series:
     def one(b):
         try:
@@ -55,7 +52,6 @@ def pdf_page_count(content: pd.Series) -> pd.Series:
     return content.map(one).astype("Int32")
 
 
-@F.pandas_udf("string")
 def pdf_error(content: pd.Series) -> pd.Series:
     """The error code of a file, null if it can be read."""
 
@@ -69,7 +65,6 @@ def pdf_error(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-@F.pandas_udf("binary")
 def pdf_decode_stream(filter: pd.Series, data: pd.Series) -> pd.Series:
     """Decode bytes by one filter name; null where that fails."""
 
@@ -82,7 +77,17 @@ def pdf_decode_stream(filter: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([one(n, b) for n, b in zip(filter, data, strict=True)])
 
 
+#: SQL name -> (function over a column, type).  Made into Pandas UDFs on registration:
+#: that needs a session, which workers that import this module do not have.
+SCALARS = {
+    "pdf_text": (pdf_text, "string"),
+    "pdf_page_count": (pdf_page_count, "int"),
+    "pdf_error": (pdf_error, "string"),
+    "pdf_decode_stream": (pdf_decode_stream, "binary"),
+}
+
+
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("pdf_lines", PdfLines)
-    for name, f in (("pdf_text", pdf_text), ("pdf_page_count", pdf_page_count), ("pdf_error", pdf_error), ("pdf_decode_stream", pdf_decode_stream)):
-        spark.udf.register(name, f)
+    spark.udtf.register("pdf_lines", F.udtf(PdfLines, returnType="page_no int, line_no int, text string, x double, y double"))
+    for name, (f, kind) in SCALARS.items():
+        spark.udf.register(name, F.pandas_udf(f, kind))
