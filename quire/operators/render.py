@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TITLE = "quire"
+#: The note for a page that needs OCR, and what separates pages.
 OCR_NOTE = "_[scanned page — text extraction requires OCR]_"
 PAGE_RULE = "\n\n---\n\n"
 

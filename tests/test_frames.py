@@ -134,3 +134,15 @@ def test_empty_input(spark):
     none = spark.createDataFrame([], "doc_id long, content binary")
     f = PdfFrames(none)
     assert f.lines.count() == f.docs.count() == f.rendered("json").count() == 0
+
+
+def test_data_source(spark, tmp_path):
+    from quire.sources import datasource
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.pdf").write_bytes(writer.text_pdf("\n".join(f"l{i}" for i in range(120))))
+    (tmp_path / "sub" / "b.pdf").write_bytes(b"junk")
+    datasource.register(spark)
+    df = spark.read.format("pdf").option("filesPerPartition", 1).load(str(tmp_path))
+    assert df.where("text is not null").count() == 120 and [r.error_code for r in df.where("error_code is not null").collect()] == ["InvalidHeader"]
+    assert [r.text for r in df.where("page_no = 3 and line_no <= 2").orderBy("line_no").collect()] == ["l100", "l101"]
