@@ -34,6 +34,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 COUNT_CHUNK = 8 << 20
+TASK_SEGMENTS = 40_000  # distinct segments that one task folds
 
 
 @dataclass(frozen=True)
@@ -352,7 +353,9 @@ def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()
     found = docs.select("text").mapInArrow(count, "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n"))
     found = materialize(found)
     short = F.char_length("seg") <= s.lattice_chars
-    folded = fold(lattice(found.where(short), piece_table(spark, model), model), model).select("seg", "n", "mask")
+    # dealt by segment before the explosion, so that grouping its edges needs no exchange
+    dealt = found.where(short).repartition(max(1, found.count() // TASK_SEGMENTS), "seg")
+    folded = fold(lattice(dealt, piece_table(spark, model), model), model).select("seg", "n", "mask")
     ids = "seg string, n long, ids array<int>"
     return materialize(folded.mapInArrow(resolve, ids).unionByName(found.where(~short).mapInArrow(rest, ids)))
 
