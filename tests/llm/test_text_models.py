@@ -286,3 +286,20 @@ def test_join_against_brute_force(spark, s):
 
 def test_join_empty(spark):
     assert near_dup.join_similar(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_components(spark):
+    from quire.llm.graph import components, contract
+
+    rng = random.Random(3)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(k, k + 1) for k in range(500, 560)] + [(7, 7)]
+    want = {}
+    for a, b in links:
+        if a != b:
+            group = want.setdefault(a, {a}) | want.setdefault(b, {b})
+            for x in group:
+                want[x] = group
+    df = spark.createDataFrame(links, "u long, v long")
+    assert {r.u: r.label for r in components(df).collect()} == {x: min(g) for x, g in want.items()}
+    assert contract(df.unionAll(df).unionAll(df)).count() <= 8 * len(want)
+    assert components(df.limit(0)).count() == 0
