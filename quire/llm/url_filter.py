@@ -154,7 +154,7 @@ def node_of(tree: dict, level: int, node: int = 1):
 
 
 def best_splits(hist: list, s: Settings) -> dict:
-    """{node: (feature, cut) or leaf value} from rows (node, feature, bin, g, h)."""
+    """{node: (split or None, value, (left value, right value))} from rows (node, feature, bin, g, h)."""
     by: dict = {}
     for node, f, b, g, h in hist:
         by.setdefault(node, {}).setdefault(f, {})[b] = (g / SCALE, h / SCALE)
@@ -162,15 +162,16 @@ def best_splits(hist: list, s: Settings) -> dict:
     for node, features in by.items():
         some = next(iter(features.values()))
         g_all, h_all = sum(x[0] for x in some.values()), sum(x[1] for x in some.values())
-        best, gain_at = None, 1e-6
+        best, gain_at, sides = None, 1e-6, None
         for f in sorted(features):
             g = h = 0.0
             for b in sorted(features[f])[:-1]:
                 g, h = g + features[f][b][0], h + features[f][b][1]
                 gain = g * g / (h + s.l2) + (g_all - g) ** 2 / (h_all - h + s.l2) - g_all**2 / (h_all + s.l2)
                 if gain > gain_at + 1e-9:
-                    best, gain_at = (FEATURES[f], b), gain
-        out[node] = (best, -s.rate * g_all / (h_all + s.l2))
+                    best, gain_at, sides = (FEATURES[f], b), gain, ((g, h), (g_all - g, h_all - h))
+        value = lambda gh: -s.rate * gh[0] / (gh[1] + s.l2)
+        out[node] = (best, value((g_all, h_all)), tuple(map(value, sides)) if best else None)
     return out
 
 
@@ -204,7 +205,7 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> tuple[Model, dict]:
         tree: dict = {}
         p = 1 / (1 + F.exp(-margin(model)))
         rows = binned.select("*", p.alias("p"))
-        for level in range(s.depth + 1):
+        for level in range(s.depth):
             hist = (
                 rows.select(
                     node_of(tree, level).alias("node"),
@@ -217,8 +218,13 @@ def fit(labelled: DataFrame, s: Settings = Settings()) -> tuple[Model, dict]:
                 .agg(F.sum("g"), F.sum("h"))
                 .collect()
             )
-            for node, (split, value) in best_splits([tuple(r) for r in hist], s).items():
-                tree[node] = split if split and level < s.depth else value
+            for node, (split, value, sides) in best_splits([tuple(r) for r in hist], s).items():
+                tree[node] = split or value
+                if split and level == s.depth - 1:
+                    # the last level's leaves follow from the sums on either side of the split
+                    tree[2 * node], tree[2 * node + 1] = sides
+            if not any(node >> level == 1 and isinstance(x, tuple) for node, x in tree.items()):
+                break
         model.trees.append(tree)
     return model, tables
 
