@@ -369,7 +369,17 @@ def _packed(table: pa.Table) -> tuple:
     n = np.diff(off)[order]
     ends = np.concatenate([[0], np.cumsum(n)])
     flat = ids.values.to_numpy()[np.repeat(off[:-1][order] - ends[:-1], n) + np.arange(ends[-1])]
-    return h[order], ends, flat.astype(np.int32)
+    # every worker holds these: as narrow as they can be
+    ends = ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.int64)
+    return h[order], ends, flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32)
+
+
+def span(ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ids of each row start, and how many there are."""
+    if not len(rows):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    start = ends[rows].astype(np.int64)
+    return start, ends[rows + 1].astype(np.int64) - start
 
 
 def gather(starts: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -419,9 +429,8 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
             offsets, codes, _, at, ends, flat = look_up(texts)
-            row = at[codes]
-            n = (ends[row + 1] - ends[row]) if len(row) else np.empty(0, np.int64)
-            ids = gather(ends[row], n, flat) if len(row) else np.empty(0, np.int32)
+            start, n = span(ends, at[codes])
+            ids = gather(start, n, flat)
             bounds = np.concatenate([[0], np.cumsum(n)])[offsets]
             yield _columns(batch.column("doc_id"), bounds, ids, shared.value if check else None)
 
@@ -434,11 +443,12 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
         for batch, texts in chunks(batches, "text"):
             offsets, codes, segs, at, ends, flat = look_up(texts)
             row = at[codes]
-            n = np.where(row >= 0, ends[row + 1] - ends[row], 1)
+            keep = row >= 0
+            start, n = span(ends, np.where(keep, row, 0))
+            n = np.where(keep, n, 1)
             out = np.concatenate([[0], np.cumsum(n)])
             ids = np.full(out[-1], -1, np.int32)
-            keep = row >= 0
-            ids[np.repeat(keep, n)] = gather(ends[row[keep]], n[keep], flat)
+            ids[np.repeat(keep, n)] = gather(start[keep], n[keep], flat)
             missing = np.concatenate([[0], np.cumsum(~keep)])[offsets]
             holes = pa.array(segs, pa.string()).take(pa.array(codes[~keep]))
             cols = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(out[offsets], pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(missing, pa.int32()), holes)]

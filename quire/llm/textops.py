@@ -29,13 +29,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = texts_of(batch.column(text))
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        column = batch.column(text)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(ends):
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
-            yield batch.slice(at, to - at), texts.slice(at, to - at)
+            # only the slice is copied: a batch can hold many long texts
+            yield batch.slice(at, to - at), texts_of(column.slice(at, to - at))
             at = to
 
 
