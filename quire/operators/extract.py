@@ -101,9 +101,21 @@ class PdfFrames:
     def errors(self) -> DataFrame:
         return self._read(False).where("error_code is not null").select("doc_id", "error_code", "error_message")
 
+    @property
+    def objects(self) -> DataFrame:
+        return pdf.read_inner(self.files, "objects", self.password, self.mode)
+
+    @property
+    def operations(self) -> DataFrame:
+        return pdf.read_inner(self.files, "page_operations", self.password, self.mode)
+
+    @property
+    def glyphs(self) -> DataFrame:
+        return pdf.read_inner(self.files, "page_glyphs", self.password, self.mode)
+
     def rendered(self, kind: str) -> DataFrame:
-        """``doc_id, <kind>`` for text, markdown, html or json."""
-        return render.documents(self.texts if kind == "text" else self.pages, self.docs if kind == "json" else None, kind)
+        """``doc_id, <kind>`` for text, paged, markdown, html or json."""
+        return render.documents(self.texts if kind in ("text", "paged") else self.pages, self.docs if kind == "json" else None, kind)
 
     def register(self, spark: SparkSession, prefix: str = "pdf_") -> None:
         """Temporary views of all tables, named prefix + table."""

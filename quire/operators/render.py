@@ -19,6 +19,12 @@ def text():
     return F.array_join(F.transform("lines", lambda x: x["text"]), "\n")
 
 
+def paged():
+    """A page's text under a header with its number and size."""
+    px = lambda c: F.bround(c, 0).cast("long").cast("string")
+    return F.concat(F.lit("--- page "), F.col("page_no").cast("string"), F.lit(" ("), px(F.col("width")), F.lit("x"), px(F.col("height")), F.lit(") ---\n"), text(), F.lit("\n"))
+
+
 def markdown_table(t):
     rows = F.transform(t["cells"], lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |")))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), t["cols"]), " | "), F.lit(" |"))
@@ -60,14 +66,14 @@ def documents(pages: DataFrame, docs: DataFrame | None, kind: str) -> DataFrame:
     good = pages.where("error_code is null")
     if kind == "json":
         return to_json(good, docs)
-    made = {"text": text, "markdown": markdown, "html": html}[kind]()
+    made = {"text": text, "paged": paged, "markdown": markdown, "html": html}[kind]()
     grouped = good.select("doc_id", "page_no", made.alias("part")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "part"))).alias("parts"))
     parts = F.transform("parts", lambda p: p["part"])
     if kind == "html":
         top = f'<!DOCTYPE html>\n<html>\n<head><meta charset="utf-8"><title>{TITLE}</title></head>\n<body>\n'
         body = F.concat(F.lit(top), F.array_join(parts, ""), F.lit("</body>\n</html>\n"))
     else:
-        body = F.array_join(parts, "\n\n" if kind == "text" else PAGE_RULE)
+        body = F.array_join(parts, {"text": "\n\n", "paged": "", "markdown": PAGE_RULE}[kind])
     return grouped.select("doc_id", body.alias(kind))
 
 

@@ -128,6 +128,34 @@ def pdf_markdown(spark, sf_dir):
     return texts(spark, sf_dir).rendered("markdown")
 
 
+@query("pdf_paged", f"""
+SELECT doc_id, string_agg('--- page ' || page_no || ' (612x792) ---' || chr(10) || body || chr(10), '' ORDER BY page_no) AS paged FROM ({PAGES}) GROUP BY doc_id""")
+def pdf_paged(spark, sf_dir):
+    return texts(spark, sf_dir).rendered("paged")
+
+
+@query("pdf_objects", f"""
+WITH p AS (SELECT doc_id, max(page_no) AS n FROM ({LINES}) GROUP BY doc_id)
+SELECT doc_id, t.type, t.kind, (CASE WHEN t.type IN ('Font', 'Pages', 'Catalog') THEN 1 ELSE n END)::BIGINT AS n_objects
+FROM p, (VALUES ('Font', 'dict'), ('Pages', 'dict'), ('Catalog', 'dict'), ('Page', 'dict'), (NULL, 'stream')) t(type, kind)""")
+def pdf_objects(spark, sf_dir):
+    return texts(spark, sf_dir).objects.where("obj_num > 0").groupBy("doc_id", "type", "kind").agg(F.count("*").alias("n_objects"))
+
+
+@query("pdf_operations", f"""
+SELECT doc_id, page_no, operator, (CASE operator WHEN 'Tj' THEN count(*) WHEN 'Tm' THEN count(*) ELSE 1 END)::BIGINT AS n
+FROM ({LINES}), (SELECT unnest(['BT', 'Tf', 'Tm', 'Tj', 'ET']) AS operator) GROUP BY doc_id, page_no, operator""")
+def pdf_operations(spark, sf_dir):
+    return texts(spark, sf_dir).operations.groupBy("doc_id", "page_no", "operator").agg(F.count("*").alias("n"))
+
+
+@query("pdf_glyphs", f"""
+SELECT doc_id, c AS text, 0.5::DOUBLE AS width, count(*)::BIGINT AS n
+FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM ({LINES})) WHERE c <> '' GROUP BY doc_id, c""")
+def pdf_glyphs(spark, sf_dir):
+    return texts(spark, sf_dir).glyphs.groupBy("doc_id", "text", "width").agg(F.sum("n").alias("n"))
+
+
 @query("pdf_html", f"""
 SELECT doc_id, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head><meta charset="utf-8"><title>quire</title></head>' || chr(10) || '<body>' || chr(10)
   || string_agg(body, '' ORDER BY page_no) || '</body>' || chr(10) || '</html>' || chr(10) AS html

@@ -182,3 +182,48 @@ def read_docs(files: DataFrame, password: str = "", mode: str = "PERMISSIVE") ->
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names, "page_sizes", "error_code", "error_message"])
 
     return lean.mapInArrow(run, f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, {DOC}")
+
+
+#: Tables of a file's inner structure: kernel function and schema.
+INNER = {
+    "objects": "obj_num int, storage string, kind string, type string, value string",
+    "page_operations": "page_no int, op_no int, operator string, operands array<string>",
+    "page_glyphs": "page_no int, font string, code int, text string, width double, n long",
+}
+
+
+def read_inner(files: DataFrame, table: str, password: str = "", mode: str = "PERMISSIVE") -> DataFrame:
+    """``doc_id`` and the columns of one of the INNER tables.
+
+    For looking into files; a file that cannot be read gives no rows (its error
+    is in read_docs), or fails the job in mode FAILFAST."""
+    mode, lean, rows_at_once = _checked(mode), _lean(files), 4096
+    schema = f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, {INNER[table]}"
+    kinds = {"int": I32, "long": L, "double": D, "string": S, "array<string>": pa.list_(S)}
+    names, types = zip(*[c.split(" ", 1) for c in INNER[table].split(", ")], strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quire.kernel import extract
+        from quire.kernel.errors import PdfError
+
+        def made(doc_id, kind, rows):
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([doc_id] * len(rows), kind), *[pa.array(c, kinds[t]) for c, t in zip(cols, types, strict=True)]], names=["doc_id", *names])
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            for doc_id, content, word in zip(batch.column("doc_id").to_pylist(), batch.column("content"), _passwords(batch, password), strict=True):
+                rows = []
+                try:
+                    for row in getattr(extract, table)(content.as_buffer().to_pybytes() if content.is_valid else b"", word):
+                        rows.append(row)
+                        if len(rows) == rows_at_once:
+                            yield made(doc_id, kind, rows)
+                            rows = []
+                except PdfError:
+                    if mode == "FAILFAST":
+                        raise
+                if rows:
+                    yield made(doc_id, kind, rows)
+
+    return lean.mapInArrow(run, schema)
