@@ -146,3 +146,19 @@ def test_data_source(spark, tmp_path):
     df = spark.read.format("pdf").option("filesPerPartition", 1).load(str(tmp_path))
     assert df.where("text is not null").count() == 120 and [r.error_code for r in df.where("error_code is not null").collect()] == ["InvalidHeader"]
     assert [r.text for r in df.where("page_no = 3 and line_no <= 2").orderBy("line_no").collect()] == ["l100", "l101"]
+
+
+def test_command_line_arguments(capsys):
+    from quire.__main__ import main
+
+    assert main([]) == 2 and main(["a", "pdf"]) == 2
+    assert "PATH" in capsys.readouterr().err
+
+
+def test_inner_tables(spark):
+    pdf_bytes = writer.text_pdf("ab", structure="objstm")
+    f = PdfFrames(spark.createDataFrame([(1, pdf_bytes), (2, b"junk"), (3, None)], "doc_id long, content binary"))
+    objects = {r.obj_num: r for r in f.objects.collect()}
+    assert objects[0].kind == "dict" and {r.storage for r in objects.values()} == {"trailer", "plain", "packed"}
+    assert [(r.operator, r.operands) for r in f.operations.where("operator = 'Tj'").collect()] == [("Tj", ["(ab)"])]
+    assert {(r.text, r.width, r.n) for r in f.glyphs.collect()} == {("a", 0.5, 1), ("b", 0.5, 1)}
