@@ -36,9 +36,9 @@ class Settings:
     tokens: int = 64  # min-hash tokens of a set
     runs: int = 8  # a pair at the threshold is missed by a run with about 0.2 (see `recall`)
     first: float = 2.0  # expected tokens that a set selects at the root of a run
-    further: float = 1.25  # and at deeper levels, 1 / similarity
+    further: float = 1.0  # and at deeper levels: the paths of a set do not multiply
     bucket: int = 200  # sets that are compared pairwise; larger buckets are split again
-    depth: int = 6  # levels; what is still large then is one group of close copies
+    depth: int = 5  # levels; what is still large then is one group of close copies
     slack: float = 0.16  # sketches err: three standard deviations of 64 tokens at 0.8
     block_rows: int = 256  # sets in a block of the exact check
     block_tokens: int = 1 << 18  # shingles in a block, so long texts make smaller blocks
