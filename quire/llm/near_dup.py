@@ -2,10 +2,11 @@
 
 Every text is the set of its five-word shingles, and a set of min-hash tokens
 stands for it (their overlap estimates the Jaccard similarity).  Each run splits
-all sets recursively on sampled shared tokens: a set goes to the children of the
+all sets on sampled shared tokens: at the root a set goes to the children of the
 tokens that a hash of the path selects.  Small buckets are compared pairwise on
-sketches; large ones are split again.  Runs are repeated until a pair at the
-threshold is found with the target recall.
+sketches; large ones are split again, by the value of one token whose place the
+path decides, so every set goes on to one child and no path ends in a large
+bucket.  Runs are as many as the target recall needs at the last level.
 
 What the buckets find are candidate groups.  Inside a group every pair is then
 verified on the exact shingle sets, in pairs of bounded blocks, which counts
@@ -15,6 +16,7 @@ group of a million copies is a single set.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,20 +36,24 @@ class Settings:
     words: int = 5
     similarity: float = 0.8
     tokens: int = 64  # min-hash tokens of a set
-    runs: int = 8  # a pair at the threshold is missed by a run with about 0.2 (see `recall`)
-    first: float = 2.0  # expected tokens that a set selects at the root of a run
-    further: float = 1.0  # and at deeper levels: the paths of a set do not multiply
+    runs: int = 24  # a pair at the threshold is missed with less than 1e-4 at any level (see `recall`)
+    first: float = 2.0  # expected tokens that a set selects at the root of a run; one at deeper levels
     bucket: int = 200  # sets that are compared pairwise; larger buckets are split again
     depth: int = 5  # levels; what is still large then is one group of close copies
-    slack: float = 0.16  # sketches err: three standard deviations of 64 tokens at 0.8
+    slack: float = 0.24  # sketches err: nearly five standard deviations of 64 tokens at 0.8
     block_rows: int = 256  # sets in a block of the exact check
     block_tokens: int = 1 << 18  # shingles in a block, so long texts make smaller blocks
 
 
-def recall(s: Settings) -> float:
-    """Chance that a pair at the threshold meets in some run's first level."""
-    miss = (1 - s.first / s.tokens) ** (s.tokens * s.similarity)
-    return 1 - miss**s.runs
+def recall(s: Settings, level: int | None = None) -> float:
+    """Chance that a pair at the threshold becomes a candidate if all its buckets above
+    ``level`` (the last one by default) stay large, the sketch filter included."""
+    out = 0.0
+    for same in range(math.ceil((s.similarity - s.slack) * s.tokens), s.tokens + 1):
+        p = math.comb(s.tokens, same) * s.similarity**same * (1 - s.similarity) ** (s.tokens - same)
+        kept = (same / s.tokens) ** ((level or s.depth) - 1)
+        out += p * (1 - (1 - s.first / s.tokens * kept) ** (same * s.runs))
+    return out
 
 
 def shingles(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,12 +101,13 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, sketch binary")
 
 
-def split(sets: DataFrame, expected: float, tokens: int) -> DataFrame:
-    """``path, key`` of the children: each set follows ``expected`` of its tokens on average.
+def split(sets: DataFrame, expected: float | None, tokens: int) -> DataFrame:
+    """``path, key`` of the children: each set follows ``expected`` of its tokens on average,
+    or, if that is None, the one token whose place the path decides.
 
     sets: path, key, sketch.  The hash of (path, token) decides, so two sets of a
     bucket select the same of the tokens that they share."""
-    least = np.uint64(int(min(1.0, expected / tokens) * (2**64 - 1)))
+    least = np.uint64(int(min(1.0, (expected or 0) / tokens) * (2**64 - 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = mix(np.arange(1, tokens + 1, dtype=np.uint64) * MIX)
@@ -111,7 +118,10 @@ def split(sets: DataFrame, expected: float, tokens: int) -> DataFrame:
                 path = part.column("path").to_numpy().astype(np.uint64)
                 token = mix(values + place)
                 child = mix(token + mix(path)[:, None])
-                row, col = np.nonzero(mix(child + MIX) <= least)
+                if expected is None:
+                    row, col = np.arange(len(path)), (mix(path + MIX) % np.uint64(tokens)).astype(np.int64)
+                else:
+                    row, col = np.nonzero(mix(child + MIX) <= least)
                 keys = part.column("key").take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(child[row, col].view(np.int64)), keys], names=["path", "key"])
 
@@ -201,7 +211,7 @@ def candidate_links(sets: DataFrame, s: Settings) -> DataFrame:
             # cannot be told apart by sampled tokens: one candidate group, verified later
             found.append(large.where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v")))
         else:
-            state = materialize(split(large.select("path", "key").join(sets, "key"), s.further, tokens))
+            state = materialize(split(large.select("path", "key").join(sets, "key"), None, tokens))
     every = leaves[0]
     for x in leaves[1:]:
         every = every.unionAll(x)

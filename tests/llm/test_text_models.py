@@ -284,6 +284,17 @@ def test_join_against_brute_force(spark, s):
     assert near_dup.recall(near_dup.Settings()) > 0.9999
 
 
+def test_a_large_group_of_near_copies(spark):
+    """600 distinct texts, each a word apart from one base: no path of a member may end in a large bucket."""
+    base = [f"u{k}" for k in range(120)]
+    texts = [" ".join([*base[: i % 120], f"x{i}", *base[i % 120 + 1 :]]) for i in range(600)]
+    want = brute(list(enumerate(texts)))
+    for r in near_dup.join_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert (r.class_id, r.n_links, r.n_copies) == want[tuple(words(texts[r.doc_id]))], r
+    s = near_dup.Settings()
+    assert all(near_dup.recall(s, level) > 0.9999 for level in range(1, s.depth + 1))
+
+
 def test_join_empty(spark):
     assert near_dup.join_similar(frame(spark, ["x"]).limit(0)).count() == 0
 
