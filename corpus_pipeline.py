@@ -27,11 +27,16 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 
 def keep_one_of_each_group(spark, docs, sf_dir):
-    """The smallest doc_id of each group of similar texts, once."""
-    groups = near_dup.join_similar(docs)
+    """One row of each group of similar texts: the one with the smallest doc_id, null ids last.
+
+    Rows are told apart by id and content, so different texts under a null or
+    repeated id are decided each on its own; ties go by hashes of text and row."""
+    row = F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text"), F.xxhash64(*docs.columns).alias("row"))
+    named = docs.withColumn("__row", row)
+    groups = near_dup.join_similar(named.select(F.col("__row").alias("doc_id"), "text"))
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = named.join(stay, F.col("__row").eqNullSafe(F.col("__stay")), "left_semi")
+    return kept.dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def mix_sources(spark, docs, sf_dir):

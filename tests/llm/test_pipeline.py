@@ -50,3 +50,12 @@ def test_stages(spark, small_dir):
 
 def test_run(spark, small_dir):
     assert corpus_pipeline.run(spark, small_dir).count() > 100
+
+
+def test_different_texts_under_null_and_repeated_ids_stay(spark):
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    rows = [(None, own(0)), (None, own(1)), (None, own(1)), (3, own(2)), (3, own(3)), (5, own(3)), (None, own(2)), (7, own(4)), (7, own(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, None)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(None, own(0)), (None, own(1)), (3, own(2)), (3, own(3)), (7, own(4))], key=str)
