@@ -46,7 +46,7 @@ _RUN = re.compile(r"(\w)\1+|(\W)\2*")
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, other characters kept, runs collapsed."""
     out = []
-    for c in word[:64] if len(word) > 64 else word:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)

@@ -224,6 +224,14 @@ def test_quality_learns(spark):
     assert len(odd) == len(ODD) + 2 and all(r.score is not None for r in odd)
 
 
+def test_shape_covers_the_whole_word():
+    assert quality.shape("a" * 64 + "1B") == "a0A"
+
+
+def test_shape_covers_the_whole_word():
+    assert quality.shape("a" * 64 + "1B") == "a0A"
+
+
 def test_quality_without_labels(spark):
     df = frame(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int")
