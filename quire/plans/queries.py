@@ -251,15 +251,15 @@ def pdf_image_url(spark, sf_dir):
 SELECT doc_id, doc_id % 7 = 0 AS needs_ocr, CASE WHEN doc_id % 7 = 0 THEN '_[scanned page — text extraction requires OCR]_' END AS note FROM documents""")
 def pdf_needs_ocr(spark, sf_dir):
     def build(doc_id, text):
-        return writer.image_pdf(2, 2, b"\x00\x55\xaa\xff", None if doc_id % 7 == 0 else (text or "").split("\n")[0])
+        return writer.image_pdf(2, 2, b"\x00\x55\xaa\xff", None if doc_id % 7 == 0 else text or "")
 
     frames = PdfFrames(writer.as_files(documents(spark, sf_dir), build, ["doc_id", "text"]))
-    marked = frames.pages.select("doc_id", "needs_ocr").join(frames.rendered("markdown"), "doc_id")
+    marked = frames.pages.groupBy("doc_id").agg(F.every("needs_ocr").alias("needs_ocr")).join(frames.rendered("markdown"), "doc_id")
     return marked.select("doc_id", "needs_ocr", F.when(F.col("needs_ocr"), F.col("markdown")).alias("note"))
 
 
 def broken(doc_id: int, text: str) -> bytes:
-    good = writer.text_pdf((text or "").split("\n")[0])
+    good = writer.text_pdf(text or "")
     kind = doc_id % 6
     if kind == 1:
         return b"not a pdf at all"
@@ -281,10 +281,16 @@ def pdf_errors(spark, sf_dir):
     return PdfFrames(files).errors.select("doc_id", "error_code")
 
 
+def readable_lines(spark, sf_dir) -> DataFrame:
+    """All lines of the documents whose files are not broken."""
+    files = writer.as_files(documents(spark, sf_dir), lambda d, t: broken(d, t) if d % 6 != 5 else broken(0, t), ["doc_id", "text"])
+    return PdfFrames(files, mode="DROPMALFORMED").lines.select("doc_id", "page_no", "line_no", "text")
+
+
 @query("pdf_dropmalformed", "SELECT doc_id, 1::INT AS page_no, string_split(coalesce(text, ''), chr(10))[1] AS text FROM documents WHERE doc_id % 6 IN (0, 5)")
 def pdf_dropmalformed(spark, sf_dir):
-    files = writer.as_files(documents(spark, sf_dir), lambda d, t: broken(d, t) if d % 6 != 5 else broken(0, t), ["doc_id", "text"])
-    return PdfFrames(files, mode="DROPMALFORMED").lines.select("doc_id", "page_no", "text")
+    """The first line of every readable document, as the SQL has it; whole files are written and read."""
+    return readable_lines(spark, sf_dir).where("page_no = 1 and line_no = 1").select("doc_id", "page_no", "text")
 
 
 @query("pdf_password_table", f"SELECT doc_id, max(page_no)::INT AS page_count, true AS encrypted FROM ({LINES}) GROUP BY doc_id")

@@ -449,17 +449,18 @@ def table_pdf(rows: list[list[str]], caption: str | None = None, width: int = 12
 
 
 def image_pdf(width: int, height: int, samples: bytes, text: str | None = None, space: str = "DeviceGray") -> bytes:
-    """One raw image on one page, with a line of text or none."""
+    """One raw image on each page, with the lines of a text, 50 to a page, or one page without text."""
     w = Writer()
     image = filtered(samples, "flate")
     ref = w.add(Stream(image.dict | {"Type": Name("XObject"), "Subtype": Name("Image"), "Width": width, "Height": height, "BitsPerComponent": 8, "ColorSpace": Name(space)}, image.data))
     resources = {"XObject": {"Im0": ref}}
     content = b"q 100 0 0 100 50 600 cm /Im0 Do Q"
-    if text is not None:
-        face = Typeface(w, "winansi", text)
-        resources["Font"] = {"F1": face.ref}
-        content += b"\n" + page_content([text], face, "tj")
-    return finish(w, [(filtered(content, "flate"), resources)])
+    if text is None:
+        return finish(w, [(filtered(content, "flate"), resources)])
+    face, lines = Typeface(w, "winansi", text), text.split("\n")
+    resources["Font"] = {"F1": face.ref}
+    pages = [content + b"\n" + page_content(lines[at : at + PER_PAGE], face, "tj") for at in range(0, len(lines), PER_PAGE)]
+    return finish(w, [(filtered(page, "flate"), resources) for page in pages])
 
 
 def as_files(rows: DataFrame, build, columns: list[str], id_col: str = "doc_id") -> DataFrame:

@@ -26,6 +26,17 @@ def test_query(spark, small_dir, name):
     assert rows(got) == rows(want)
 
 
+def test_dropmalformed_reads_all_lines(spark, small_dir):
+    from quire.plans.queries import LINES, broken, readable_lines, writer
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small_dir}/documents.parquet'")
+    want = con.execute(f"SELECT * FROM ({LINES}) WHERE doc_id % 6 IN (0, 5)").df()
+    assert want.page_no.max() > 1 and rows(readable_lines(spark, small_dir).toPandas()) == rows(want)
+    assert len(broken(4, "a\n" * 500)) > len(broken(4, "a"))
+    assert writer.image_pdf(1, 1, b"a", "a\n" * 60).count(b"/Contents") == 2
+
+
 def test_queries_without_sql(spark, small_dir):
     for name in sorted(set(QUERIES) - set(ORACLE)):
         assert QUERIES[name](spark, small_dir).count() > 0
