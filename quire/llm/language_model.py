@@ -5,10 +5,10 @@ text and one of the background, share one vocabulary.  A document's score is the
 mean over its tokens of the target's loss less the background's: the lower, the
 more it reads like the target.
 
-All counts are taken over all texts and shuffled as partial sums.  The cut-offs
-are relative frequencies, so the model has a proven size bound (at most
-1 / min_word words and 1 / min_pair pairs of either text) however large the
-input; what falls under them is backed off, words to <unk>, pairs to p(word).
+Words and pairs that occur twice count, however large the input, so the model
+grows with it and is gathered nowhere: counts are tables by hash of the word.
+Texts are cut into pieces of bounded size; a piece asks for the counts of its
+distinct words and pairs by a join, and what is found meets its texts again.
 """
 
 from __future__ import annotations
@@ -18,116 +18,146 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.store import materialize
-from quire.llm.textops import chunks, split_words
+from quire.llm.textops import chunks, hash_words, split_words, texts_of
 
-COUNT_CHUNK = 16 << 20  # bytes of text whose n-grams are summed before Spark sees them
+PIECE = 4 << 20  # bytes of text that ask for their counts together
+UNK = 0  # stands for a word that is not in the vocabulary, and for the beginning of a text
 
 
 @dataclass(frozen=True)
 class Settings:
-    min_word: float = 1e-5  # share of a text's tokens that a word needs for a place in the vocabulary
-    min_pair: float = 1e-6  # share of a text's tokens that a pair needs for a count of its own
+    min_word: float = 2  # occurrences in a text that a word needs for a place in the vocabulary; below 1 a share of its tokens
+    min_pair: float = 2  # and that a pair needs for a count of its own
     prior: float = 16.0  # weight of p(word) against a history's counts
     add: float = 0.5  # added to every word's count
 
 
 @dataclass
 class Model:
-    words: dict  # word -> 1..n; 0 is <unk>
-    log_word: np.ndarray  # 2 x (n + 1): log p(word) of target, background
-    history: np.ndarray  # 2 x (n + 1): tokens after a word in counted pairs
-    pairs: np.ndarray  # ascending history << 32 | word
-    counts: np.ndarray  # 2 x pairs
+    words: DataFrame  # w, target, background, target_after, background_after: counts, and tokens after w in counted pairs
+    pairs: DataFrame  # h, w, target, background
+    totals: np.ndarray  # tokens of target, background
+    n_words: int
+    background: DataFrame
+    prepared: tuple  # the background's pieces, their words and their pairs, for scoring the same table
 
 
 def _texts(target: DataFrame, background: DataFrame) -> DataFrame:
     return background.select("text", F.lit(0).alias("t")).unionAll(target.select("text", F.lit(1).alias("t")))
 
 
-def _sums(batches: Iterator[pa.RecordBatch], key_of, kind) -> Iterator[pa.RecordBatch]:
-    for batch, texts in chunks(batches, "text", COUNT_CHUNK):
-        side = batch.column("t").to_numpy()
-        for t in (0, 1):
-            mine = texts.filter(pa.array(side == t))
-            if len(mine):
-                keys, n = key_of(mine)
-                n = np.asarray(n, dtype=np.int64)
-                zero = np.zeros(len(n), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(n if t else zero), pa.array(zero if t else n)], names=["k", "target", "background"])
+def pieces(df: DataFrame) -> DataFrame:
+    """The rows with the ``piece`` they belong to, written once so that it stays the same."""
+    names = df.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        piece, size = 0, 0
+        for batch, texts in chunks(batches, "text", PIECE):
+            more = int(texts.nbytes)
+            if size + more > PIECE:
+                piece, size = piece + 1, 0
+            size += more
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, task + piece))], names=[*names, "piece"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return materialize(df.mapInArrow(run, f"{kinds}, piece long"))
+
+
+def word_ids(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, ids): the words of each text as hashes other than UNK."""
+    offsets, codes, words = split_words(texts)
+    h = hash_words(words).view(np.int64)
+    return offsets, np.where(h == UNK, 1, h)[codes]
+
+
+def before(offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The word before each token; a text's first token follows UNK."""
+    out = np.full(len(ids), UNK, np.int64)
+    out[1:] = ids[:-1]
+    out[offsets[:-1][np.diff(offsets) > 0]] = UNK
+    return out
+
+
+def distinct(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h, w, inverse, counts) of the distinct pairs."""
+    hs, hi = np.unique(h, return_inverse=True)
+    ws, wi = np.unique(w, return_inverse=True)
+    key, inverse, n = np.unique(hi * max(1, len(ws)) + wi, return_inverse=True, return_counts=True)
+    return hs[key // max(1, len(ws))], ws[key % max(1, len(ws))], inverse, n
+
+
+def piece_words(lean: DataFrame) -> DataFrame:
+    """``piece, w, n`` of texts with pieces; a piece can have a word in several rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("piece").to_numpy()
+            for piece in np.unique(of):
+                texts = texts_of(batch.column("text").filter(pa.array(of == piece)))
+                w, n = np.unique(word_ids(texts)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), piece)), pa.array(w), pa.array(n)], names=["piece", "w", "n"])
+
+    return materialize(lean.select("piece", "text").mapInArrow(run, "piece long, w long, n long"))
+
+
+def known_words(asked: DataFrame, words: DataFrame) -> DataFrame:
+    """The words of each piece that the table has; a word can come several times."""
+    return asked.select("piece", "w").join(words, "w")
+
+
+def folded(table: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, ids) of a piece's texts, words that are not known as UNK."""
+    offsets, ids = word_ids(texts_of(table["text"]))
+    return offsets, np.where(np.isin(ids, known["w"].to_numpy()), ids, UNK)
 
-def _word_counts(texts):
-    _, codes, words = split_words(texts)
-    return words, np.bincount(codes, minlength=len(words))
 
+def piece_pairs(lean: DataFrame, known: DataFrame) -> DataFrame:
+    """``piece, h, w, n`` of the folded texts."""
 
-def token_ids(texts, words: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, ids): every text starts with a 0 that stands for its beginning."""
-    offsets, codes, distinct = split_words(texts)
-    ids = np.fromiter((words.get(w, 0) for w in distinct), np.int64, len(distinct))[codes]
-    return offsets, ids
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        offsets, ids = folded(left, right)
+        h, w, _, n = distinct(before(offsets, ids), ids)
+        return pa.table({"piece": np.full(len(n), key[0].as_py(), np.int64), "h": h, "w": w, "n": n})
 
+    texts = lean.select("piece", "text").groupBy("piece")
+    return materialize(texts.cogroup(known.select("piece", "w").groupBy("piece")).applyInArrow(run, "piece long, h long, w long, n long"))
 
-def pair_keys(offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """history << 32 | word of every token; a text's first token follows <unk>."""
-    before = np.zeros(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    starts = offsets[:-1][np.diff(offsets) > 0]
-    before[starts] = 0
-    return before << 32 | ids
+
+def _both(target: DataFrame, background: DataFrame, *keys: str) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    every = target.select(*keys, F.col("n").alias("target"), zero.alias("background")).unionAll(background.select(*keys, zero.alias("target"), F.col("n").alias("background")))
+    return every.groupBy(*keys).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+
+
+def _enough(least: float, totals: np.ndarray):
+    cuts = [least if least >= 1 else max(1.0, least * float(n)) for n in totals]
+    return (F.col("target") >= cuts[0]) | (F.col("background") >= cuts[1])
 
 
 def train(target: DataFrame, background: DataFrame, s: Settings = Settings()) -> Model:
-    """Count both texts and cut off by relative frequency; null texts are empty."""
-    texts = _texts(target, background)
-    schema = "k {}, target long, background long"
-    by_word = texts.mapInArrow(lambda it: _sums(it, _word_counts, pa.string()), schema.format("string"))
-    counted = materialize(by_word.groupBy("k").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
-    n_t, n_b = (x or 0 for x in counted.agg(F.sum("target"), F.sum("background")).first())
-    # at most 1 / min_word words of either text pass, whatever their number
-    kept = counted.where((F.col("target") >= max(1.0, s.min_word * n_t)) | (F.col("background") >= max(1.0, s.min_word * n_b))).toArrow().sort_by("k")
-    words = {w: i + 1 for i, w in enumerate(kept["k"].to_pylist())}
-    per_word = np.zeros((2, len(words) + 1))
-    for i, (side, n) in enumerate((("target", n_t), ("background", n_b))):
-        per_word[i, 1:] = kept[side].to_numpy()
-        per_word[i, 0] = n - per_word[i].sum()
-    smooth = per_word + s.add
-    log_word = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-
-    def pair_counts(chunk):
-        return np.unique(pair_keys(*token_ids(chunk, shared.value)), return_counts=True)
-
-    by_pair = texts.mapInArrow(lambda it: _sums(it, pair_counts, pa.int64()), schema.format("long"))
-    pairs = (
-        by_pair.groupBy("k").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-        .where((F.col("target") >= max(1.0, s.min_pair * n_t)) | (F.col("background") >= max(1.0, s.min_pair * n_b)))
-    ).toArrow().sort_by("k")
-    keys = pairs["k"].to_numpy()
-    counts = np.stack([pairs["target"].to_numpy(), pairs["background"].to_numpy()]).astype(np.float64) if len(keys) else np.zeros((2, 0))
+    """Count both texts; null texts are empty."""
+    sides = [pieces(x.select(*[c for c in ("doc_id", "text") if c in x.columns])) for x in (target, background)]
+    asked = [piece_words(x) for x in sides]
+    counted = materialize(_both(*asked, "w"))
+    sums = F.sum("target"), F.sum("background")
+    totals = np.array([x or 0 for x in counted.agg(*sums).first()], np.float64)
+    kept = materialize(counted.where(_enough(s.min_word, totals)))
+    n_words, *inside = (x or 0 for x in kept.agg(F.count("*"), *sums).first())
+    by_piece = [piece_pairs(x, known_words(a, kept)) for x, a in zip(sides, asked, strict=True)]
+    pairs = materialize(_both(*by_piece, "h", "w").where(_enough(s.min_pair, totals)))
     # the history's total is that of its counted pairs, so p(. | history) sums to 1
-    history = np.stack([np.bincount(keys >> 32, c, len(words) + 1) for c in counts])
-    return Model(words, log_word, history, keys, counts)
-
-
-def losses(texts, model: Model, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: tokens, total loss under the target, under the background (nats)."""
-    offsets, ids = token_ids(texts, model.words)
-    keys = pair_keys(offsets, ids)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = np.searchsorted(model.pairs, keys)
-    at[at == len(model.pairs)] = 0
-    hit = model.pairs[at] == keys if len(model.pairs) else np.zeros(len(keys), bool)
-    out = [np.diff(offsets)]
-    for side in (0, 1):
-        seen = np.where(hit, model.counts[side][at], 0.0) if len(model.pairs) else np.zeros(len(keys))
-        p = (seen + s.prior * np.exp(model.log_word[side][ids])) / (model.history[side][keys >> 32] + s.prior)
-        out.append(np.bincount(owner, -np.log(p), len(offsets) - 1))
-    return tuple(out)
+    after = pairs.groupBy(F.col("h").alias("w")).agg(F.sum("target").alias("target_after"), F.sum("background").alias("background_after"))
+    rest = [int(n - k) for n, k in zip(totals, inside, strict=True)]
+    every = kept.unionAll(target.sparkSession.createDataFrame([(UNK, *rest)], kept.schema))
+    words = materialize(every.join(after, "w", "left").na.fill(0, ["target_after", "background_after"]))
+    return Model(words, pairs, totals, int(n_words), background, (sides[1], asked[1], by_piece[1]))
 
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
@@ -139,18 +169,50 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     * Equal texts score equally; every repeated row is returned, a null doc_id
       as null.  Other columns are ignored; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
-            n, t, b = losses(texts, shared.value, s)
-            safe = np.maximum(n, 1)
-            cols = [pa.array(x / safe, mask=n == 0) for x in (t, b, t - b)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *cols], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+    if docs is model.background:
+        lean, asked, by_piece = model.prepared
+    else:
+        lean = pieces(docs.select("doc_id", "text"))
+        asked = piece_words(lean)
+        by_piece = piece_pairs(lean, known_words(asked, model.words))
+    unk = lean.select("piece", F.lit(UNK).cast("long").alias("w")).distinct()
+    known = known_words(asked.select("piece", "w").unionAll(unk), model.words)
+    found = by_piece.select("piece", "h", "w").join(model.pairs, ["h", "w"])
+    none = F.lit(None).cast("long")
+    counts = known.select("piece", none.alias("h"), "w", "target", "background", "target_after", "background_after").unionAll(
+        found.select("piece", "h", "w", "target", "background", none.alias("target_after"), none.alias("background_after"))
+    )
+    size, totals = model.n_words + 1, model.totals
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        single = right.filter(pc.is_null(right["h"]))
+        single = single.take(pa.array(np.unique(single["w"].to_numpy(), return_index=True)[1]))
+        double = right.filter(pc.is_valid(right["h"]))
+        offsets, ids = folded(left, single)
+        known = single["w"].to_numpy()
+        owner = np.repeat(np.arange(left.num_rows), np.diff(offsets))
+        h, w, inverse, _ = distinct(before(offsets, ids), ids)
+        # a pair as one number: places of its words among the known ones
+        key = np.searchsorted(known, h) * size + np.searchsorted(known, w)
+        has = np.searchsorted(known, double["h"].to_numpy()) * size + np.searchsorted(known, double["w"].to_numpy())
+        order = np.argsort(has)
+        at = np.searchsorted(has[order], key)
+        hit = at < len(has)
+        hit[hit] = has[order][at[hit]] == key[hit]
+        n, out = np.diff(offsets), []
+        for i, side in enumerate(("target", "background")):
+            seen = np.zeros(len(key))
+            seen[hit] = double[side].to_numpy()[order][at[hit]]
+            p = (single[side].to_numpy()[np.searchsorted(known, w)] + s.add) / (totals[i] + s.add * size)
+            after = single[side + "_after"].to_numpy()[np.searchsorted(known, h)]
+            loss = -np.log((seen + s.prior * p) / (after + s.prior))
+            out.append(np.bincount(owner, loss[inverse], left.num_rows) / np.maximum(n, 1))
+        columns = [pa.array(x, mask=n == 0) for x in (*out, out[0] - out[1])]
+        return pa.table([left["doc_id"], pa.array(n.astype(np.int64)), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    lean = docs.select("doc_id", "text")
     kind = lean.schema["doc_id"].dataType.simpleString()
-    return lean.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    schema = f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double"
+    return lean.groupBy("piece").cogroup(counts.groupBy("piece")).applyInArrow(run, schema)
 
 
 def op3_lm_scoring(spark, sf_dir):

@@ -130,6 +130,15 @@ def test_scores_against_brute_force(spark):
             assert r.target_loss == pytest.approx(loss(t, 0)) and r.score == pytest.approx(loss(t, 0) - loss(t, 1))
 
 
+def test_model_grows_with_the_background(spark):
+    """A word and a pair that occur twice keep their counts in 300,000 other tokens."""
+    docs = spark.createDataFrame([(i, "rare pair") for i in range(2)] + [(9, "once only")] + [(i, "a b c " * 1000) for i in range(10, 110)], "doc_id long, text string")
+    model = lm.train(docs.where("doc_id > 200"), docs)
+    out = {r.doc_id: r for r in lm.score(docs, model).collect()}
+    assert {r.doc_id: r for r in lm.score(docs.select("*"), model).collect()} == out
+    assert len(out) == 103 and out[0].background_loss < out[9].background_loss - 0.01 and out[0][1:] == out[1][1:]
+
+
 def test_target_like_text_scores_lower(spark):
     docs = spark.createDataFrame([(i, "red green blue " * 5 if i % 2 else "one two three four " * 5) for i in range(40)], "doc_id long, text string")
     out = lm.score(docs, lm.train(spark.createDataFrame([("red green blue",)] * 3, "text string"), docs))
