@@ -6,9 +6,10 @@ mean over its tokens of the target's loss less the background's: the lower, the
 more it reads like the target.
 
 Words and pairs that occur twice count, however large the input, so the model
-grows with it and is gathered nowhere: counts are tables by hash of the word.
-Texts are cut into pieces of bounded size; a piece asks for the counts of its
-distinct words and pairs by a join, and what is found meets its texts again.
+grows with it and is gathered nowhere.  Texts are cut into pieces of bounded size,
+kept as word codes; the distinct words and pairs of all pieces meet once, by hash,
+in a window that sums their counts, and the sums return to the pieces that hold
+them.  A word that half of all texts hold has one row per piece.
 """
 
 from __future__ import annotations
@@ -20,199 +21,191 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.store import materialize
-from quire.llm.textops import chunks, hash_words, split_words, texts_of
+from quire.llm.textops import chunks, hash_words, split_words
 
-PIECE = 4 << 20  # bytes of text that ask for their counts together
+PIECE = 8 << 20  # bytes of text whose distinct words and pairs are counted together; a longer text is one piece
+ROWS = 1 << 16  # rows of an Arrow batch that a piece gives
 UNK = 0  # stands for a word that is not in the vocabulary, and for the beginning of a text
+PIECES = "piece long, side int, ids array<{kind}>, n long, sizes binary, codes binary, words binary"
+ASKED = "piece long, idx int, h long, w long, target long, background long"
+TARGET, BACKGROUND, OTHER = 1, 0, 2
 
 
 @dataclass(frozen=True)
 class Settings:
-    min_word: float = 2  # occurrences in a text that a word needs for a place in the vocabulary; below 1 a share of its tokens
-    min_pair: float = 2  # and that a pair needs for a count of its own
+    min_word: int = 2  # occurrences in either text that a word needs for a place in the vocabulary
+    min_pair: int = 2  # and that a pair needs for a count of its own; at least min_word
     prior: float = 16.0  # weight of p(word) against a history's counts
     add: float = 0.5  # added to every word's count
 
+    def __post_init__(self):
+        if not 1 <= self.min_word <= self.min_pair:
+            raise ValueError("1 <= min_word <= min_pair")
+
 
 @dataclass
 class Model:
-    words: DataFrame  # w, target, background, target_after, background_after: counts, and tokens after w in counted pairs
-    pairs: DataFrame  # h, w, target, background
-    totals: np.ndarray  # tokens of target, background
-    n_words: int
-    background: DataFrame
-    prepared: tuple  # the background's pieces, their words and their pairs, for scoring the same table
+    target: DataFrame  # pieces
+    background: DataFrame  # pieces
+    source: DataFrame  # the table that the background's pieces were cut from
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return pa.Codec("zstd").compress(x.tobytes(), asbytes=True) if len(x) else b""
 
 
-def _texts(target: DataFrame, background: DataFrame) -> DataFrame:
-    return background.select("text", F.lit(0).alias("t")).unionAll(target.select("text", F.lit(1).alias("t")))
+def _unpack(data: bytes, n: int, kind) -> np.ndarray:
+    size = n * np.dtype(kind).itemsize
+    return np.frombuffer(pa.Codec("zstd").decompress(data, size), kind) if n else np.empty(0, kind)
 
 
-def pieces(df: DataFrame) -> DataFrame:
-    """The rows with the ``piece`` they belong to, written once so that it stays the same."""
-    names = df.columns
+def pieces(df: DataFrame, side: int) -> DataFrame:
+    """One row per piece of ``df(doc_id, text)``, written: the ids and word counts of its
+    texts, the code of every token, and the hashes of its distinct words by code."""
+    named = "doc_id" in df.columns
+    kind = df.schema["doc_id"].dataType.simpleString() if named else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
-        piece, size = 0, 0
+        at = side << 60 | TaskContext.get().partitionId() << 32
         for batch, texts in chunks(batches, "text", PIECE):
-            more = int(texts.nbytes)
-            if size + more > PIECE:
-                piece, size = piece + 1, 0
-            size += more
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, task + piece))], names=[*names, "piece"])
+            offsets, codes, words = split_words(texts)
+            h = hash_words(words).view(np.int64)
+            ids = batch.column("doc_id") if named else pa.nulls(batch.num_rows, pa.int64())
+            row = {
+                "piece": pa.array([at]), "side": pa.array([side], pa.int32()),
+                "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                "n": pa.array([len(codes)]), "sizes": pa.array([_pack(np.diff(offsets).astype(np.int32))]),
+                "codes": pa.array([_pack(codes.astype(np.int32))]), "words": pa.array([np.where(h == UNK, 1, h).tobytes()]),
+            }
+            yield pa.RecordBatch.from_pydict(row)
+            at += 1
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return materialize(df.mapInArrow(run, f"{kinds}, piece long"))
+    return materialize(df.select(*["doc_id"] * named, "text").mapInArrow(run, PIECES.format(kind=kind)))
 
 
-def word_ids(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, ids): the words of each text as hashes other than UNK."""
-    offsets, codes, words = split_words(texts)
-    h = hash_words(words).view(np.int64)
-    return offsets, np.where(h == UNK, 1, h)[codes]
+def pairs_of(offsets: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(history, word, inverse, counts) of the distinct pairs in order; n is the history of a text's first token."""
+    before = np.full(len(codes), n, np.int64)
+    before[1:] = codes[:-1]
+    before[offsets[:-1][np.diff(offsets) > 0]] = n
+    key, inverse, count = np.unique(before * (n + 1) + codes, return_inverse=True, return_counts=True)
+    return key // (n + 1), key % (n + 1), inverse, count
 
 
-def before(offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The word before each token; a text's first token follows UNK."""
-    out = np.full(len(ids), UNK, np.int64)
-    out[1:] = ids[:-1]
-    out[offsets[:-1][np.diff(offsets) > 0]] = UNK
-    return out
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, codes, word hashes) of a piece; the last hash is that of the beginning."""
+    sizes = _unpack(row["sizes"], row["texts"], np.int32)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return offsets, _unpack(row["codes"], row["n"], np.int32), np.append(np.frombuffer(row["words"], np.int64), UNK)
 
 
-def distinct(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(h, w, inverse, counts) of the distinct pairs."""
-    hs, hi = np.unique(h, return_inverse=True)
-    ws, wi = np.unique(w, return_inverse=True)
-    key, inverse, n = np.unique(hi * max(1, len(ws)) + wi, return_inverse=True, return_counts=True)
-    return hs[key // max(1, len(ws))], ws[key % max(1, len(ws))], inverse, n
+def _lean(cut: DataFrame) -> DataFrame:
+    """Pieces with the number of their texts in place of the ids."""
+    return cut.select("piece", "side", F.size("ids").alias("texts"), "n", "sizes", "codes", "words")
 
 
-def piece_words(lean: DataFrame) -> DataFrame:
-    """``piece, w, n`` of texts with pieces; a piece can have a word in several rows."""
+def asked(cut: DataFrame) -> DataFrame:
+    """``piece, idx, h, w, target, background``: the counts in each piece of its distinct
+    words (h is null, idx the word's code) and pairs (idx is the pair's place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = batch.column("piece").to_numpy()
-            for piece in np.unique(of):
-                texts = texts_of(batch.column("text").filter(pa.array(of == piece)))
-                w, n = np.unique(word_ids(texts)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), piece)), pa.array(w), pa.array(n)], names=["piece", "w", "n"])
-
-    return materialize(lean.select("piece", "text").mapInArrow(run, "piece long, w long, n long"))
-
-
-def known_words(asked: DataFrame, words: DataFrame) -> DataFrame:
-    """The words of each piece that the table has; a word can come several times."""
-    return asked.select("piece", "w").join(words, "w")
-
-
-def folded(table: pa.Table, known: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, ids) of a piece's texts, words that are not known as UNK."""
-    offsets, ids = word_ids(texts_of(table["text"]))
-    return offsets, np.where(np.isin(ids, known["w"].to_numpy()), ids, UNK)
-
-
-def piece_pairs(lean: DataFrame, known: DataFrame) -> DataFrame:
-    """``piece, h, w, n`` of the folded texts."""
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        offsets, ids = folded(left, right)
-        h, w, _, n = distinct(before(offsets, ids), ids)
-        return pa.table({"piece": np.full(len(n), key[0].as_py(), np.int64), "h": h, "w": w, "n": n})
-
-    texts = lean.select("piece", "text").groupBy("piece")
-    return materialize(texts.cogroup(known.select("piece", "w").groupBy("piece")).applyInArrow(run, "piece long, h long, w long, n long"))
-
-
-def _both(target: DataFrame, background: DataFrame, *keys: str) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    every = target.select(*keys, F.col("n").alias("target"), zero.alias("background")).unionAll(background.select(*keys, zero.alias("target"), F.col("n").alias("background")))
-    return every.groupBy(*keys).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def _enough(least: float, totals: np.ndarray):
-    cuts = [least if least >= 1 else max(1.0, least * float(n)) for n in totals]
-    return (F.col("target") >= cuts[0]) | (F.col("background") >= cuts[1])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                offsets, codes, words = _tokens(row)
+                n = len(words) - 1
+                h, w, _, count = pairs_of(offsets, codes, n)
+                idx = np.concatenate([np.arange(n + 1), np.arange(len(h))]).astype(np.int32)
+                left = pa.array(np.concatenate([np.zeros(n + 1, np.int64), words[h]]), mask=np.arange(len(idx)) <= n)
+                right = np.concatenate([words, words[w]])
+                seen = np.concatenate([np.bincount(codes, minlength=n + 1), count]).astype(np.int64)
+                none = np.zeros(len(seen), np.int64)
+                cols = [np.full(len(idx), row["piece"]), idx, left, right, seen if row["side"] == TARGET else none, seen if row["side"] == BACKGROUND else none]
+                out = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["piece", "idx", "h", "w", "target", "background"])
+                for at in range(0, out.num_rows, ROWS):
+                    yield out.slice(at, ROWS)
+
+    return cut.mapInArrow(run, ASKED)
 
 
 def train(target: DataFrame, background: DataFrame, s: Settings = Settings()) -> Model:
-    """Count both texts; null texts are empty."""
-    sides = [pieces(x.select(*[c for c in ("doc_id", "text") if c in x.columns])) for x in (target, background)]
-    asked = [piece_words(x) for x in sides]
-    counted = materialize(_both(*asked, "w"))
-    sums = F.sum("target"), F.sum("background")
-    totals = np.array([x or 0 for x in counted.agg(*sums).first()], np.float64)
-    kept = materialize(counted.where(_enough(s.min_word, totals)))
-    n_words, *inside = (x or 0 for x in kept.agg(F.count("*"), *sums).first())
-    by_piece = [piece_pairs(x, known_words(a, kept)) for x, a in zip(sides, asked, strict=True)]
-    pairs = materialize(_both(*by_piece, "h", "w").where(_enough(s.min_pair, totals)))
-    # the history's total is that of its counted pairs, so p(. | history) sums to 1
-    after = pairs.groupBy(F.col("h").alias("w")).agg(F.sum("target").alias("target_after"), F.sum("background").alias("background_after"))
-    rest = [int(n - k) for n, k in zip(totals, inside, strict=True)]
-    every = kept.unionAll(target.sparkSession.createDataFrame([(UNK, *rest)], kept.schema))
-    words = materialize(every.join(after, "w", "left").na.fill(0, ["target_after", "background_after"]))
-    return Model(words, pairs, totals, int(n_words), background, (sides[1], asked[1], by_piece[1]))
+    """Cut both texts into pieces; null texts are empty.  Counts are summed by ``score``,
+    once for the words and pairs of model and documents together."""
+    return Model(pieces(target, TARGET), pieces(background, BACKGROUND), background)
 
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score`` of every row.
 
-    Losses are means per token in nats, score their difference.
+    Losses are means per token in nats, score their difference.  Over a
+    vocabulary of the words that occur ``min_word`` times in target or background,
+    and UNK for the rest, ``p(w | h) = (c(h, w) + prior * p(w)) / (c(h) + prior)``:
+    c(h, w) is the count of a pair that occurs ``min_pair`` times, else 0, and c(h)
+    the sum of these.
 
     * Null and empty texts have no tokens: losses and score are null.
     * Equal texts score equally; every repeated row is returned, a null doc_id
       as null.  Other columns are ignored; an empty table gives an empty one.
+    * A very long text is one piece: a task holds its codes and distinct pairs.
     """
-    if docs is model.background:
-        lean, asked, by_piece = model.prepared
-    else:
-        lean = pieces(docs.select("doc_id", "text"))
-        asked = piece_words(lean)
-        by_piece = piece_pairs(lean, known_words(asked, model.words))
-    unk = lean.select("piece", F.lit(UNK).cast("long").alias("w")).distinct()
-    known = known_words(asked.select("piece", "w").unionAll(unk), model.words)
-    found = by_piece.select("piece", "h", "w").join(model.pairs, ["h", "w"])
-    none = F.lit(None).cast("long")
-    counts = known.select("piece", none.alias("h"), "w", "target", "background", "target_after", "background_after").unionAll(
-        found.select("piece", "h", "w", "target", "background", none.alias("target_after"), none.alias("background_after"))
+    own = docs is model.source
+    lean = model.background if own else pieces(docs.select("doc_id", "text"), OTHER)
+    every = _lean(model.target).unionAll(_lean(model.background))
+    every = every if own else every.unionAll(_lean(lean))
+    counts = asked(every)
+    same = Window.partitionBy("h", "w")
+    least = F.when(F.col("h").isNull(), F.lit(s.min_word)).otherwise(F.lit(s.min_pair))
+    wanted = F.shiftright("piece", 60) == (BACKGROUND if own else OTHER)
+    found = materialize(
+        counts.select(
+            "piece", "idx", "h", "w", F.sum("target").over(same).alias("target"), F.sum("background").over(same).alias("background"),
+            (F.col("piece") == F.min("piece").over(same)).alias("first"),
+        )
+        .where((F.greatest("target", "background") >= least) | (F.col("h").isNull() & (F.col("w") == UNK)))
+        .where(wanted | F.col("first"))
     )
-    size, totals = model.n_words + 1, model.totals
+    words, pairs = found.where("h is null"), found.where("h is not null")
+    totals = dict(every.groupBy("side").agg(F.sum("n")).collect())
+    totals = np.array([totals.get(TARGET) or 0, totals.get(BACKGROUND) or 0], np.float64)
+    known = words.where(F.col("first") & (F.col("w") != UNK)).agg(F.count("*"), F.sum("target"), F.sum("background")).first()
+    size, rest = known[0] + 1, totals - np.array([known[1] or 0, known[2] or 0])
+    after = pairs.where("first").groupBy(F.col("h").alias("w")).agg(F.sum("target").alias("target_after"), F.sum("background").alias("background_after"))
+    none = F.lit(None).cast("long")
+    back = words.where(wanted).join(after, "w", "left").select(
+        "piece", F.lit(True).alias("word"), "idx", "target", "background", F.coalesce("target_after", F.lit(0)).alias("target_after"), F.coalesce("background_after", F.lit(0)).alias("background_after")
+    )
+    back = back.unionAll(pairs.where(wanted).select("piece", F.lit(False), "idx", "target", "background", none, none))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        single = right.filter(pc.is_null(right["h"]))
-        single = single.take(pa.array(np.unique(single["w"].to_numpy(), return_index=True)[1]))
-        double = right.filter(pc.is_valid(right["h"]))
-        offsets, ids = folded(left, single)
-        known = single["w"].to_numpy()
-        owner = np.repeat(np.arange(left.num_rows), np.diff(offsets))
-        h, w, inverse, _ = distinct(before(offsets, ids), ids)
-        # a pair as one number: places of its words among the known ones
-        key = np.searchsorted(known, h) * size + np.searchsorted(known, w)
-        has = np.searchsorted(known, double["h"].to_numpy()) * size + np.searchsorted(known, double["w"].to_numpy())
-        order = np.argsort(has)
-        at = np.searchsorted(has[order], key)
-        hit = at < len(has)
-        hit[hit] = has[order][at[hit]] == key[hit]
-        n, out = np.diff(offsets), []
+        row = left.drop(["ids"]).to_pylist()[0]
+        offsets, codes, hashes = _tokens(row)
+        n = len(hashes) - 1
+        h, w, inverse, _ = pairs_of(offsets, codes, n)
+        owner = np.repeat(np.arange(row["texts"]), np.diff(offsets))
+        single, double = right.filter(right["word"]), right.filter(pc.invert(right["word"]))
+        at, pair_at = single["idx"].to_numpy(), double["idx"].to_numpy()
+        length, out = np.diff(offsets), []
         for i, side in enumerate(("target", "background")):
-            seen = np.zeros(len(key))
-            seen[hit] = double[side].to_numpy()[order][at[hit]]
-            p = (single[side].to_numpy()[np.searchsorted(known, w)] + s.add) / (totals[i] + s.add * size)
-            after = single[side + "_after"].to_numpy()[np.searchsorted(known, h)]
-            loss = -np.log((seen + s.prior * p) / (after + s.prior))
-            out.append(np.bincount(owner, loss[inverse], left.num_rows) / np.maximum(n, 1))
-        columns = [pa.array(x, mask=n == 0) for x in (*out, out[0] - out[1])]
-        return pa.table([left["doc_id"], pa.array(n.astype(np.int64)), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    kind = lean.schema["doc_id"].dataType.simpleString()
+            seen, history, pair = np.full(n + 1, rest[i]), np.zeros(n + 1), np.zeros(len(h))
+            inside = at < n
+            seen[at[inside]] = single[side].to_numpy()[inside]
+            history[at] = single[side + "_after"].to_numpy()
+            pair[pair_at] = double[side].to_numpy()
+            p = (seen + s.add) / (totals[i] + s.add * size)
+            loss = -np.log((pair + s.prior * p[w]) / (history[h] + s.prior))
+            out.append(np.bincount(owner, loss[inverse], len(length)) / np.maximum(length, 1))
+        ids = left["ids"].combine_chunks().flatten()
+        columns = [pa.array(x, mask=length == 0) for x in (*out, out[0] - out[1])]
+        return pa.table([ids, pa.array(length), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return lean.groupBy("piece").cogroup(counts.groupBy("piece")).applyInArrow(run, schema)
+    lean = lean.withColumn("texts", F.size("ids"))
+    return lean.groupBy("piece").cogroup(back.groupBy("piece")).applyInArrow(run, schema)
 
 
 def op3_lm_scoring(spark, sf_dir):

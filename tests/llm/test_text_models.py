@@ -95,39 +95,62 @@ def test_viterbi_finds_the_best_path(spark):
 # -- LM scoring
 
 
-def test_scores_against_brute_force(spark):
-    rng = random.Random(1)
-    vocab = [f"w{i}" for i in range(30)]
-    texts = [" ".join(rng.choice(vocab[: rng.randint(2, 30)]) for _ in range(rng.randint(0, 30))) for _ in range(40)]
-    target = [" ".join(rng.choice(vocab[:5]) for _ in range(20)) for _ in range(5)] + [None]
-    s = lm.Settings(min_word=0.02, min_pair=0.005)
-    df = frame(spark, texts)
-    out = lm.score(df, lm.train(spark.createDataFrame([(t,) for t in target], "text string"), df, s), s).collect()
-    every = [r.text for r in df.collect()]
+def lm_losses(target, every, s):
+    """loss(text, side) by definition; side 0 is the target."""
     sides = [[words(t) for t in target], [words(t) for t in every]]
     count = [collections.Counter(w for t in side for w in t) for side in sides]
     total = [sum(c.values()) for c in count]
-    known = {w for c, n in zip(count, total, strict=True) for w in c if c[w] >= max(1, s.min_word * n)}
-    fold = lambda t: [w if w in known else "" for w in t]
-    uni = [collections.Counter(w for t in side for w in fold(t)) for side in sides]
-    two = [collections.Counter(p for t in side for p in zip(["", *fold(t)], fold(t), strict=False)) for side in sides]
-    kept = {p for c, n in zip(two, total, strict=True) for p in c if c[p] >= max(1, s.min_pair * n)}
-    p1 = [{w: (u[w] + s.add) / (sum(u.values()) + s.add * (len(known) + 1)) for w in known | {""}} for u in uni]
+    known = {w for c in count for w in c if c[w] >= s.min_word}
+    fold = lambda w: w if w in known else None
+    uni = [collections.Counter(fold(w) for t in side for w in t) for side in sides]
+    two = [collections.Counter(p for t in side for p in zip([0, *t], t, strict=False)) for side in sides]
+    kept = {p for c in two for p in c if c[p] >= s.min_pair}
     hist = [collections.Counter() for _ in sides]
     for k in (0, 1):
         for p in kept:
             hist[k][p[0]] += two[k][p]
 
     def loss(t, k):
-        w = fold(words(t))
-        return sum(-math.log(((two[k][p] if p in kept else 0) + s.prior * p1[k][p[1]]) / (hist[k][p[0]] + s.prior)) for p in zip(["", *w], w, strict=False)) / len(w)
+        w = words(t)
+        p1 = lambda x: (uni[k][fold(x)] + s.add) / (total[k] + s.add * (len(known) + 1))
+        return sum(-math.log(((two[k][p] if p in kept else 0) + s.prior * p1(p[1])) / (hist[k][p[0]] + s.prior)) for p in zip([0, *w], w, strict=False)) / len(w)
 
-    for r in out:
-        t = {i: x for i, x in enumerate(texts)}.get(r.doc_id, "null id here")
-        if not words(t):
-            assert r.n_tokens == 0 and r.score is None
-        else:
-            assert r.target_loss == pytest.approx(loss(t, 0)) and r.score == pytest.approx(loss(t, 0) - loss(t, 1))
+    return loss
+
+
+@pytest.mark.parametrize("s", [lm.Settings(), lm.Settings(min_word=3, min_pair=5)])
+def test_scores_against_brute_force(spark, s):
+    rng = random.Random(1)
+    vocab = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(vocab[: rng.randint(2, 30)]) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [f"once{i} w{i} twice{i // 2}" for i in range(20)]
+    texts += ["w1 w2 " * 3000, "", "\n "]
+    target = [" ".join(rng.choice(vocab[:5]) for _ in range(20)) for _ in range(5)] + [None, "only target target"]
+    df = frame(spark, texts)
+    asked = frame(spark, ["w1 w2 never seen", "target target once3", None])
+    model = lm.train(spark.createDataFrame([(t,) for t in target], "text string"), df, s)
+    loss = lm_losses(target, [r.text for r in df.collect()], s)
+    for table in (df, asked):
+        rows = {r.doc_id: r.text for r in table.collect()}
+        out = lm.score(table, model, s).collect()
+        assert len(out) == table.count()
+        for r in out:
+            t = rows[r.doc_id]
+            if not words(t):
+                assert r.n_tokens == 0 and r.score is None
+            else:
+                assert r.n_tokens == len(words(t)) and r.target_loss == pytest.approx(loss(t, 0)) and r.score == pytest.approx(loss(t, 0) - loss(t, 1))
+
+
+def test_rare_pairs_keep_their_counts_between_pieces(spark):
+    """Seven pieces at least, and counts of one in hundreds of thousands of tokens."""
+    texts = [f"p{i // 2} q{i // 2} r{i // 2}" for i in range(30)] + ["a b c d " * 2000] * 30 + ["lone words here"]
+    rng = random.Random(5)
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    s = lm.Settings()
+    loss = lm_losses(["a b c"], texts, s)
+    for r in lm.score(df, lm.train(spark.createDataFrame([("a b c",)], "text string"), df, s), s).collect():
+        assert r.background_loss == pytest.approx(loss(texts[r.doc_id], 1)) and r.target_loss == pytest.approx(loss(texts[r.doc_id], 0))
 
 
 def test_model_grows_with_the_background(spark):
@@ -237,10 +260,6 @@ def test_shape_covers_the_whole_word():
     assert quality.shape("a" * 64 + "1B") == "a0A"
 
 
-def test_shape_covers_the_whole_word():
-    assert quality.shape("a" * 64 + "1B") == "a0A"
-
-
 def test_quality_without_labels(spark):
     df = frame(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int")
