@@ -95,30 +95,23 @@ def test_viterbi_finds_the_best_path(spark):
 # -- LM scoring
 
 
-def lm_losses(target, every, s):
+def lm_losses(target, every, s, leave_out=0):
     """loss(text, side) by definition; side 0 is the target."""
     sides = [[words(t) for t in target], [words(t) for t in every]]
-    count = [collections.Counter(w for t in side for w in t) for side in sides]
-    total = [sum(c.values()) for c in count]
-    known = {w for c in count for w in c if c[w] >= s.min_word}
-    fold = lambda w: w if w in known else None
-    uni = [collections.Counter(fold(w) for t in side for w in t) for side in sides]
+    uni = [collections.Counter(w for t in side for w in t) for side in sides]
     two = [collections.Counter(p for t in side for p in zip([0, *t], t, strict=False)) for side in sides]
-    kept = {p for c in two for p in c if c[p] >= s.min_pair}
-    hist = [collections.Counter() for _ in sides]
-    for k in (0, 1):
-        for p in kept:
-            hist[k][p[0]] += two[k][p]
+    hist = [collections.Counter(p[0] for p in c.elements()) for c in two]
+    size = len(set(uni[0]) | set(uni[1])) + 1
 
     def loss(t, k):
-        w = words(t)
-        p1 = lambda x: (uni[k][fold(x)] + s.add) / (total[k] + s.add * (len(known) + 1))
-        return sum(-math.log(((two[k][p] if p in kept else 0) + s.prior * p1(p[1])) / (hist[k][p[0]] + s.prior)) for p in zip([0, *w], w, strict=False)) / len(w)
+        w, out = words(t), leave_out * k
+        p1 = lambda x: (uni[k][x] - out + s.add) / (uni[k].total() - out + s.add * size)
+        return sum(-math.log((two[k][p] - out + s.prior * p1(p[1])) / (hist[k][p[0]] - out + s.prior)) for p in zip([0, *w], w, strict=False)) / len(w)
 
     return loss
 
 
-@pytest.mark.parametrize("s", [lm.Settings(), lm.Settings(min_word=3, min_pair=5)])
+@pytest.mark.parametrize("s", [lm.Settings(), lm.Settings(prior=2.0, add=0.1)])
 def test_scores_against_brute_force(spark, s):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(30)]
@@ -128,10 +121,10 @@ def test_scores_against_brute_force(spark, s):
     df = frame(spark, texts)
     asked = frame(spark, ["w1 w2 never seen", "target target once3", None])
     model = lm.train(spark.createDataFrame([(t,) for t in target], "text string"), df, s)
-    loss = lm_losses(target, [r.text for r in df.collect()], s)
-    for table in (df, asked):
+    for table, leave_out in ((df, 0), (df, 1), (asked, 0)):
+        loss = lm_losses(target, [r.text for r in df.collect()], s, leave_out)
         rows = {r.doc_id: r.text for r in table.collect()}
-        out = lm.score(table, model, s).collect()
+        out = lm.score(table, model, s, leave_out=bool(leave_out)).collect()
         assert len(out) == table.count()
         for r in out:
             t = rows[r.doc_id]
@@ -139,18 +132,30 @@ def test_scores_against_brute_force(spark, s):
                 assert r.n_tokens == 0 and r.score is None
             else:
                 assert r.n_tokens == len(words(t)) and r.target_loss == pytest.approx(loss(t, 0)) and r.score == pytest.approx(loss(t, 0) - loss(t, 1))
+    with pytest.raises(ValueError):
+        lm.score(asked, model, s, leave_out=True)
 
 
 def test_rare_pairs_keep_their_counts_between_pieces(spark):
-    """Seven pieces at least, and counts of one in hundreds of thousands of tokens."""
-    texts = [f"p{i // 2} q{i // 2} r{i // 2}" for i in range(30)] + ["a b c d " * 2000] * 30 + ["lone words here"]
+    """Seven pieces, several ranges of hashes, and counts of one in millions of tokens."""
+    texts = [f"p{i // 2} q{i // 2} r{i // 2}" for i in range(30)] + ["a b c d " * 20_000] * 30 + ["lone words here"]
     rng = random.Random(5)
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
     s = lm.Settings()
-    loss = lm_losses(["a b c"], texts, s)
-    for r in lm.score(df, lm.train(spark.createDataFrame([("a b c",)], "text string"), df, s), s).collect():
-        assert r.background_loss == pytest.approx(loss(texts[r.doc_id], 1)) and r.target_loss == pytest.approx(loss(texts[r.doc_id], 0))
+    out = lm.score(df, lm.train(spark.createDataFrame([("a b c",)], "text string"), df, s), s, leave_out=True).collect()
+    loss = lm_losses(["a b c"], texts, s, 1)
+    for r in out:
+        if len(texts[r.doc_id]) < 100:
+            assert r.background_loss == pytest.approx(loss(texts[r.doc_id], 1)) and r.target_loss == pytest.approx(loss(texts[r.doc_id], 0))
+    # what occurs twice is told apart from what occurs once
+    by = {texts[r.doc_id]: r.background_loss for r in out}
+    assert by["lone words here"] > by["p3 q3 r3"] + 1
+
+
+def test_packed_numbers():
+    for x in (np.array([], np.uint64), np.array([0, 1, 2**64 - 1], np.uint64), np.arange(-5, 500, dtype=np.int64)):
+        assert (lm.unpack(lm.pack(x), len(x), x.dtype) == x).all()
 
 
 def test_model_grows_with_the_background(spark):
