@@ -4,9 +4,9 @@ Encoding is relational: texts are cut into segments across which no piece can
 reach, distinct segments are exploded into substrings of bounded length and
 equi-joined to the piece table, and the resulting lattice is grouped by segment
 and folded by a higher-order aggregate.  A unigram model is folded by Viterbi.
-A BPE model is not scored by sums: there the fold applies, at each step, the
-best-scored edge that joins two neighbouring symbols, which gives the ids of the
-public library; Viterbi over its scores does not.
+A BPE model is not scored by sums: there the fold applies, best score first, the
+edges that join two neighbouring symbols, which gives the ids of the public
+library; Viterbi over its scores does not.
 
 Texts are read twice and never shuffled.  What is shuffled is one row per
 distinct segment and chunk.
@@ -40,7 +40,8 @@ TASK_SEGMENTS = 40_000  # distinct segments that one task folds
 @dataclass(frozen=True)
 class Settings:
     lattice_chars: int = 48  # longer segments are folded by the same rules outside the lattice
-    shared_rows: int = 3_000_000  # segments sent to every worker, most frequent first; the rest is joined
+    shared_rows: int = 3_000_000  # segments sent to every worker at most, the most frequent; the rest is joined
+    shared_ids: int = 32_000_000  # and ids of these segments at most
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,26 @@ class PieceModel:
         pairs = {ord(a) << 21 | ord(b) for p in self.usable for a, b in zip(p, p[1:], strict=False)}
         return np.array(sorted(pairs), dtype=np.uint64)
 
+    @cached_property
+    def monotone(self) -> bool:
+        """Whether the merges that build a piece come in the order of their scores, for every piece.
+
+        Inside any text the characters of a piece merge as they do alone until the
+        piece is built or cut.  So no merge of such a model makes a better one
+        possible, and one pass over the edges in order applies them all."""
+        rank = {p: -self.scores[i] for p, i in self.usable.items()}
+        for piece in rank:
+            symbols, last = list(piece), float("-inf")
+            while len(symbols) > 1:
+                joined = [(rank.get(a + b, float("inf")), k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))]
+                best, at = min(joined)
+                if best == float("inf"):
+                    break
+                if best < last:
+                    return False
+                symbols[at : at + 2], last = [symbols[at] + symbols[at + 1]], best
+        return True
+
     @cached_property
     def surface(self) -> pa.Array:
         """The bytes that each id decodes to."""
@@ -215,17 +236,19 @@ def lattice(segs: DataFrame, pieces: DataFrame, model: PieceModel) -> DataFrame:
     return grouped.unionByName(segs.where("char_length(seg) = 1").select("seg", "n", F.array().cast("array<bigint>").alias("edges")))
 
 
-#: One pass finds the best edge that joins two neighbouring symbols; the set of
-#: symbol boundaries is a bit mask, whose sign bit says that the pass is done.
-FOLD_BPE = """
-aggregate(sequence(1, greatest(1, char_length(seg) - 1)), shiftleft(1L, char_length(seg) + 1) - 1L, (mask, i) ->
+#: Symbol boundaries are a bit mask.  An edge applies if both its ends and exactly one
+#: position between them are boundaries; then that position no longer is one.
+_S, _E = "cast(shiftright(x, 8) & 255 as int)", "cast(x & 255 as int)"
+_INNER = f"(shiftleft(1L, {_E}) - shiftleft(1L, {_S} + 1))"
+_APPLIES = f"(shiftright(st, {_E}) & 1) = 1 and (shiftright(st, {_S}) & 1) = 1 and bit_count(st & {_INNER}) = 1"
+_ALL = "shiftleft(1L, char_length(seg) + 1) - 1L"
+#: For monotone models every edge is looked at once.
+FOLD_BPE_ONCE = f"aggregate(edges, {_ALL}, (st, x) -> if({_APPLIES}, st & ~{_INNER}, st))"
+#: For the others a pass applies the first edge that it can; the sign bit says that it has.
+FOLD_BPE = f"""
+aggregate(sequence(1, greatest(1, char_length(seg) - 1)), {_ALL}, (mask, i) ->
   aggregate(edges, mask, (st, x) ->
-    if(st < 0, st,
-      if((shiftright(st, cast(shiftright(x, 8) & 255 as int)) & 1) = 1
-         and (shiftright(st, cast(x & 255 as int)) & 1) = 1
-         and bit_count(st & (shiftleft(1L, cast(x & 255 as int)) - shiftleft(1L, cast((shiftright(x, 8) & 255) + 1 as int)))) = 1,
-        (st & ~(shiftleft(1L, cast(x & 255 as int)) - shiftleft(1L, cast((shiftright(x, 8) & 255) + 1 as int)))) | (-9223372036854775807L - 1),
-        st))) & 9223372036854775807L)
+    if(st < 0, st, if({_APPLIES}, (st & ~{_INNER}) | (-9223372036854775807L - 1), st))) & 9223372036854775807L)
 """
 
 
@@ -266,7 +289,7 @@ def fold_viterbi(unknown_cost: float):
 def fold(edges: DataFrame, model: PieceModel) -> DataFrame:
     """``seg, n, mask``: the boundaries of each segment's symbols, bit i before character i."""
     if model.kind == BPE:
-        return edges.select("seg", "n", F.expr(FOLD_BPE).alias("mask"))
+        return edges.select("seg", "n", F.expr(FOLD_BPE_ONCE if model.monotone else FOLD_BPE).alias("mask"))
     table, mask = fold_viterbi(unk_cost(model))
     return edges.select("seg", "n", table.alias("table")).select("seg", "n", mask.alias("mask"))
 
@@ -360,18 +383,45 @@ def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()
     return materialize(folded.mapInArrow(resolve, ids).unionByName(found.where(~short).mapInArrow(rest, ids)))
 
 
+HASH = np.dtype([("hi", ">u8"), ("lo", ">u8")])
+
+
+def _hashes(parts) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each segment, in two halves."""
+    h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in parts), HASH)
+    return h["hi"].astype(np.uint64), h["lo"].astype(np.uint64)
+
+
 def _packed(table: pa.Table) -> tuple:
-    """Hashes (ascending), offsets and ids: what workers look segments up in."""
+    """Hashes (first halves ascending, then the second), offsets and ids: what workers look segments up in.
+
+    Of segments that share a first half only one is held; the others are as good as not shared."""
     ids = table["ids"].combine_chunks()
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer()) for x in table["seg"]), np.uint64, table.num_rows)
-    order = np.argsort(h, kind="stable")
+    hi, lo = _hashes(x.as_buffer() for x in table["seg"])
+    hi, order = np.unique(hi, return_index=True)
     off = ids.offsets.to_numpy().astype(np.int64)
     n = np.diff(off)[order]
     ends = np.concatenate([[0], np.cumsum(n)])
     flat = ids.values.to_numpy()[np.repeat(off[:-1][order] - ends[:-1], n) + np.arange(ends[-1])]
     # every worker holds these: as narrow as they can be
     ends = ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.int64)
-    return h[order], ends, flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32)
+    return hi, lo[order], ends, flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32)
+
+
+def most_frequent(table: DataFrame, s: Settings) -> DataFrame:
+    """The segments that occur 2**k times or more, for the least k at which they are within the bounds.
+
+    The driver sees two sums for each power of two."""
+    power = F.floor(F.log2("n")).cast("int")
+    size = {k: (n, ids) for k, n, ids in table.groupBy(power).agg(F.count("*"), F.sum(F.size("ids"))).collect()}
+    least, rows, ids = 64, 0, 0
+    while least > 0:
+        more = size.get(least - 1, (0, 0))
+        rows, ids = rows + more[0], ids + more[1]
+        if rows > s.shared_rows or ids > s.shared_ids:
+            break
+        least -= 1
+    return table.where(power >= least)
 
 
 def span(ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -405,25 +455,28 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
     * Null and empty texts: no ids.  Every repeated row is returned; a null
       doc_id as null.  Other columns are ignored; an empty table: empty.
     * Characters without a piece become byte pieces, or <unk> without them.
-    * The ``shared_rows`` most frequent segments are sent to the workers (a
-      checked bound); occurrences of rarer ones are joined by segment and put
-      into their places.
+    * The most frequent segments, as many as ``shared_rows`` and ``shared_ids``
+      allow, are sent to the workers; occurrences of rarer ones are joined by
+      segment and put into their places.
+    * A very long text is one row of one task, as it is in the table; its
+      segments are folded where all others are.
     """
     spark = docs.sparkSession
     table = encode_segments(docs, model, s)
-    whole = table.count() <= s.shared_rows
-    top = table if whole else table.orderBy(F.col("n").desc(), "seg").limit(s.shared_rows)
-    packed = spark.sparkContext.broadcast(_packed(top.select("seg", "ids").toArrow()))
+    packed = _packed(most_frequent(table, s).select("seg", "ids").toArrow())
+    # a segment that shares half its hash with another is joined
+    whole = len(packed[0]) == table.count()
+    packed = spark.sparkContext.broadcast(packed)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string" if check else f"doc_id {kind}, ids array<int>"
 
     def look_up(texts):
-        hashes, ends, flat = packed.value
+        first, second, ends, flat = packed.value
         offsets, codes, segs = segments(texts, shared.value)
-        h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in segs), np.uint64, len(segs))
-        at = np.minimum(np.searchsorted(hashes, h), max(0, len(hashes) - 1))
-        known = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+        hi, lo = _hashes(segs)
+        at = np.minimum(np.searchsorted(first, hi), max(0, len(first) - 1))
+        known = (first[at] == hi) & (second[at] == lo) if len(first) else np.zeros(len(hi), bool)
         return offsets, codes, segs, np.where(known, at, -1), ends, flat
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
