@@ -351,7 +351,7 @@ def encode_long(seg: str, model: PieceModel) -> list[int]:
 
 
 def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()) -> DataFrame:
-    """``seg, n, ids`` of the distinct segments of ``docs(text)``, n their number."""
+    """``seg, n, hi, lo, ids`` of the distinct segments of ``docs(text)``, n their number, hi and lo their hash."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -360,18 +360,22 @@ def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()
             _, codes, segs = segments(texts, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(segs, pa.string()), pa.array(np.bincount(codes, minlength=len(segs)).astype(np.int64))], names=["seg", "n"])
 
+    def finished(batch: pa.RecordBatch, ids: list) -> pa.RecordBatch:
+        hi, lo = _hashes(batch.column("seg").to_pylist())
+        cols = [batch.column("seg"), batch.column("n"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(ids, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(cols, names=["seg", "n", "hi", "lo", "ids"])
+
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of the symbols between the folded boundaries."""
         for batch in batches:
             ids = []
             for seg, mask in zip(batch.column("seg").to_pylist(), batch.column("mask").to_pylist(), strict=True):
                 ids.append(symbol_ids(seg, [i for i in range(len(seg) + 1) if mask >> i & 1], shared.value))
-            yield pa.RecordBatch.from_arrays([batch.column("seg"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["seg", "n", "ids"])
+            yield finished(batch, ids)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [encode_long(x, shared.value) for x in batch.column("seg").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("seg"), batch.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["seg", "n", "ids"])
+            yield finished(batch, [encode_long(x, shared.value) for x in batch.column("seg").to_pylist()])
 
     found = docs.select("text").mapInArrow(count, "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n"))
     found = materialize(found)
@@ -379,14 +383,14 @@ def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()
     # dealt by segment before the explosion, so that grouping its edges needs no exchange
     dealt = found.where(short).repartition(max(1, found.count() // TASK_SEGMENTS), "seg")
     folded = fold(lattice(dealt, piece_table(spark, model), model), model).select("seg", "n", "mask")
-    ids = "seg string, n long, ids array<int>"
+    ids = "seg string, n long, hi long, lo long, ids array<int>"
     return materialize(folded.mapInArrow(resolve, ids).unionByName(found.where(~short).mapInArrow(rest, ids)))
 
 
 HASH = np.dtype([("hi", ">u8"), ("lo", ">u8")])
 
 
-def _hashes(parts) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(parts: list) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each segment, in two halves."""
     h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in parts), HASH)
     return h["hi"].astype(np.uint64), h["lo"].astype(np.uint64)
@@ -397,8 +401,8 @@ def _packed(table: pa.Table) -> tuple:
 
     Of segments that share a first half only one is held; the others are as good as not shared."""
     ids = table["ids"].combine_chunks()
-    hi, lo = _hashes(x.as_buffer() for x in table["seg"])
-    hi, order = np.unique(hi, return_index=True)
+    lo = table["lo"].to_numpy().view(np.uint64)
+    hi, order = np.unique(table["hi"].to_numpy().view(np.uint64), return_index=True)
     off = ids.offsets.to_numpy().astype(np.int64)
     n = np.diff(off)[order]
     ends = np.concatenate([[0], np.cumsum(n)])
@@ -463,7 +467,7 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
     """
     spark = docs.sparkSession
     table = encode_segments(docs, model, s)
-    packed = _packed(most_frequent(table, s).select("seg", "ids").toArrow())
+    packed = _packed(most_frequent(table, s).select("hi", "lo", "ids").toArrow())
     # a segment that shares half its hash with another is joined
     whole = len(packed[0]) == table.count()
     packed = spark.sparkContext.broadcast(packed)
