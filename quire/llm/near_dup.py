@@ -5,8 +5,9 @@ stands for it (their overlap estimates the Jaccard similarity).  Each run splits
 all sets on sampled shared tokens: at the root a set goes to the children of the
 tokens that a hash of the path selects.  Small buckets are compared pairwise on
 sketches; large ones are split again, by the value of one token whose place the
-path decides, so every set goes on to one child and no path ends in a large
-bucket.  Runs are as many as the target recall needs at the last level.
+path decides, so every set goes on to one child.  What is still large at the last
+level is compared with pivots, and whoever is unlike their main group with
+everyone, in blocks: every pair that meets there is linked if it is alike.
 
 What the buckets find are candidate groups.  Inside a group every pair is then
 verified on the exact shingle sets, in pairs of bounded blocks, which counts
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.graph import components
+from quire.llm.graph import components, local_components
 from quire.llm.store import materialize
 from quire.llm.textops import MIX, chunks, hash_words, mix, ngram_hashes, split_words
 
@@ -39,21 +40,30 @@ class Settings:
     runs: int = 24  # a pair at the threshold is missed with less than 1e-4 at any level (see `recall`)
     first: float = 2.0  # expected tokens that a set selects at the root of a run; one at deeper levels
     bucket: int = 200  # sets that are compared pairwise; larger buckets are split again
-    depth: int = 5  # levels; what is still large then is one group of close copies
-    slack: float = 0.24  # sketches err: nearly five standard deviations of 64 tokens at 0.8
+    depth: int = 5  # levels
+    brief: int = 192  # tokens by whose low bytes sets are compared
+    slack: float = 0.14  # sketches err: nearly five standard deviations of 192 tokens at 0.8
+    pivots: int = 64  # expected pivots of a bucket that is large at the last level
+    block_keys: int = 1024  # sets in a block that is compared on sketches
     block_rows: int = 256  # sets in a block of the exact check
     block_tokens: int = 1 << 18  # shingles in a block, so long texts make smaller blocks
 
 
 def recall(s: Settings, level: int | None = None) -> float:
     """Chance that a pair at the threshold becomes a candidate if all its buckets above
-    ``level`` (the last one by default) stay large, the sketch filter included."""
-    out = 0.0
-    for same in range(math.ceil((s.similarity - s.slack) * s.tokens), s.tokens + 1):
-        p = math.comb(s.tokens, same) * s.similarity**same * (1 - s.similarity) ** (s.tokens - same)
+    ``level`` (the last one by default) stay large, the sketch filter included.
+
+    A pair that is together in a bucket is compared there, also at the last level."""
+
+    def tail(n: int, least: int):
+        for same in range(least, n + 1):
+            yield same, math.comb(n, same) * s.similarity**same * (1 - s.similarity) ** (n - same)
+
+    met = 0.0
+    for same, p in tail(s.tokens, 0):
         kept = (same / s.tokens) ** ((level or s.depth) - 1)
-        out += p * (1 - (1 - s.first / s.tokens * kept) ** (same * s.runs))
-    return out
+        met += p * (1 - (1 - s.first / s.tokens * kept) ** (same * s.runs))
+    return met * sum(p for _, p in tail(s.brief, math.ceil((s.similarity - s.slack) * s.brief)))
 
 
 def shingles(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,33 +82,48 @@ def shingles(texts, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return h, owner, w, offsets
 
 
-def sketch(h: np.ndarray, owner: np.ndarray, n: int, tokens: int) -> np.ndarray:
-    """n x tokens min-hashes of 32 bits; rows of empty sets are zero."""
-    out = np.zeros((n, tokens), np.uint32)
+def sketch(h: np.ndarray, owner: np.ndarray, n: int, tokens: int, brief: int) -> tuple[np.ndarray, np.ndarray]:
+    """n x tokens min-hashes of 32 bits, and the low bytes of n x brief ones; rows of empty sets are zero.
+
+    A product of 64 bits gives two min-hashes: the path tokens are upper halves."""
+    long, short = np.zeros((n, tokens), np.uint32), np.zeros((n, brief), np.uint8)
     if len(h):
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         rows = owner[starts]
-        seeds = mix(np.arange(1, tokens + 1, dtype=np.uint64) * MIX) | np.uint64(1)
-        for j in range(tokens):
-            out[rows, j] = np.minimum.reduceat((h * seeds[j]) >> np.uint64(32), starts)
-    return out
+        products = max(tokens, (brief + 1) // 2)
+        seeds = mix(np.arange(1, products + 1, dtype=np.uint64) * MIX) | np.uint64(1)
+        for j in range(products):
+            x = h * seeds[j]
+            upper = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), starts)
+            if j < tokens:
+                long[rows, j] = upper
+            if 2 * j < brief:
+                short[rows, 2 * j] = upper.astype(np.uint8)
+            if 2 * j + 1 < brief:
+                short[rows, 2 * j + 1] = np.minimum.reduceat(x.astype(np.uint32), starts).astype(np.uint8)
+    return long, short
+
+
+def row_hash(text):
+    """Tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """``doc_id, key, n, sketch``: key names the word sequence, n counts its shingles."""
-    words, tokens = s.words, s.tokens
+    """``doc_id, th, key, n, sketch, brief``: key names the word sequence, n counts its shingles."""
+    words, tokens, brief = s.words, s.tokens, s.brief
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
             h, owner, w, offsets = shingles(texts, words)
-            sk = sketch(h, owner, len(texts), tokens)
+            long, short = sketch(h, owner, len(texts), tokens, brief)
             keys = [xxhash.xxh3_128_digest(w[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             n = np.bincount(owner, minlength=len(texts))
-            cols = [batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(n), pa.array([r.tobytes() for r in sk], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "sketch"])
+            cols = [pa.array(keys, pa.binary()), pa.array(n), *[pa.array([r.tobytes() for r in x], pa.binary()) for x in (long, short)]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *cols], names=["doc_id", "th", "key", "n", "sketch", "brief"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, n long, sketch binary")
+    return docs.select("doc_id", "text", row_hash(F.col("text")).alias("th")).mapInArrow(run, f"doc_id {kind}, th long, key binary, n long, sketch binary, brief binary")
 
 
 def split(sets: DataFrame, expected: float | None, tokens: int) -> DataFrame:
@@ -167,60 +192,128 @@ def local_labels(linked: np.ndarray) -> np.ndarray:
     return label
 
 
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of x and y share ``least`` of their bytes."""
+    out = np.empty((len(x), len(y)), bool)
+    for i in range(len(x)):
+        out[i] = (y == x[i]).sum(axis=1) >= least * x.shape[1]
+    return out
+
+
+def briefs(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["brief"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+
+
+def star(keys: list, label: np.ndarray) -> pa.RecordBatch:
+    """``u, v``: everyone whose label is another, with the one that it names."""
+    at = np.flatnonzero(label != np.arange(len(keys)))
+    return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in x], pa.binary()) for x in (at, label[at])], names=["u", "v"])
+
+
 def compare_buckets(leaves: DataFrame, s: Settings) -> DataFrame:
     """``u, v`` star links of the sets of each small bucket whose sketches are alike.
 
-    leaves: path, key, brief (the low byte of every token)."""
-    tokens, least = s.tokens, s.similarity - s.slack
+    leaves: path, key, brief."""
+    least = s.similarity - s.slack
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ["path"]):
-            keys = t["key"].to_pylist()
-            x = np.frombuffer(b"".join(t["brief"].to_pylist()), np.uint8).reshape(-1, tokens)
-            alike = np.zeros((len(x), len(x)), bool)
-            for i in range(len(x)):
-                alike[i] = (x == x[i]).sum(axis=1) >= least * tokens
-            label = local_labels(alike)
-            at = np.flatnonzero(label != np.arange(len(x)))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array([keys[i] for i in label[at]], pa.binary())], names=["u", "v"])
+            x = briefs(t)
+            yield star(t["key"].to_pylist(), local_labels(alike(x, x, least)))
 
     return leaves.repartition("path").sortWithinPartitions("path").mapInArrow(run, "u binary, v binary")
 
 
-def candidate_links(sets: DataFrame, s: Settings) -> DataFrame:
-    """``u, v`` links that span every group of likely similar sets; sets: key, sketch."""
-    tokens = s.tokens
+def compare_large(large: DataFrame, s: Settings) -> DataFrame:
+    """``u, v`` links that join all alike sets of each bucket that is large at the last level.
 
-    def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, tokens).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("key"), pa.array([r.tobytes() for r in x], pa.binary())], names=["path", "key", "brief"])
+    large: path, size, key, brief.  Every set is compared with the pivots of its
+    bucket, picked by a hash; those like a pivot of the main group (pivots linked
+    with each other, the most of them) are linked to it.  Sets outside the main
+    group are then compared with all sets of the bucket, so no pair is left out.
+    Buckets are dealt in blocks; pivots and outsiders are copied to each of them."""
+    least, rows = s.similarity - s.slack, s.block_keys
 
+    def dealt(parts):
+        return F.pmod(F.xxhash64("key", "path"), parts).cast("int")
+
+    def every(parts):
+        return F.explode(F.sequence(F.lit(0), parts - 1))
+
+    def main_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ["path", "block"]):
+            t = t.sort_by("key")
+            pivot, x, keys = t["pivot"].to_numpy(), briefs(t), np.array(t["key"].to_pylist(), object)
+            at, rest = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+            head = np.zeros(0, int)
+            if len(at):
+                label = local_labels(alike(x[at], x[at], least))
+                head = at[label == np.bincount(label).argmax()]
+            with_head = alike(x[rest], x[head], least).any(axis=1)
+            # pivots are in every block; the first one speaks for them
+            mine = rest if t["block"][0].as_py() else np.concatenate([at, rest])
+            inside = np.zeros(len(x), bool)
+            inside[head], inside[rest[with_head]] = True, True
+            to = pa.array([keys[head[0]] if inside[i] else None for i in mine], pa.binary())
+            yield pa.RecordBatch.from_arrays([t["path"].combine_chunks().take(pa.array(mine)), pa.array(keys[mine].tolist(), pa.binary()), to], names=["path", "key", "head"])
+
+    parts = F.ceil(F.col("size") / rows).cast("int")
+    chance = F.lit(float(s.pivots)) / F.col("size")
+    pivot = F.pmod(F.xxhash64("path", "key"), F.lit(1 << 30)) < chance * (1 << 30)
+    flagged = large.select("path", "size", "key", "brief", pivot.alias("pivot"))
+    shown = flagged.where("pivot").select("path", every(parts).alias("block"), "pivot", "key", "brief")
+    shown = shown.unionAll(flagged.where("not pivot").select("path", dealt(parts).alias("block"), "pivot", "key", "brief"))
+    keys = ["path", "block"]
+    named = materialize(shown.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(main_group, "path long, key binary, head binary"))
+    outside = materialize(named.where("head is null").select("path", "key"))
+    linked = named.where("head is not null and head <> key").select(F.col("key").alias("u"), F.col("head").alias("v"))
+    if not outside.limit(1).count():
+        return linked
+    n = materialize(outside.groupBy("path").agg(F.ceil(F.count("*") / rows).cast("int").alias("outsiders")))
+    there = large.join(n, "path")
+    asking = there.join(outside, ["path", "key"]).select("path", dealt(F.col("outsiders")).alias("i"), every(parts).alias("j"), F.lit(True).alias("asks"), "key", "brief")
+    shown = there.select("path", every(F.col("outsiders")).alias("i"), dealt(parts).alias("j"), F.lit(False).alias("asks"), "key", "brief").unionAll(
+        asking.select("path", "i", "j", "asks", "key", "brief")
+    )
+
+    def outsiders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ["path", "i", "j"]):
+            asks, x, names = t["asks"].to_numpy(), briefs(t), t["key"].to_pylist()
+            a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+            u, v = np.nonzero(alike(x[a], x[b], least))
+            n = len(a)
+            # links of both sides as stars, so that a block gives at most one per set
+            label = local_components(u, v + n, n + len(b))
+            yield star([names[k] for k in np.concatenate([a, b])], label)
+
+    keys = ["path", "i", "j"]
+    found = shown.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(outsiders, "u binary, v binary")
+    return linked.unionAll(found.where("u <> v"))
+
+
+def candidate_links(sets: DataFrame, s: Settings) -> DataFrame:
+    """``u, v`` links that span every group of likely similar sets; sets: key, sketch, brief."""
+    tokens = s.tokens
     roots = sets.select(F.explode(F.sequence(F.lit(1).cast("long"), F.lit(s.runs).cast("long"))).alias("path"), "key", "sketch")
     state = materialize(split(roots, s.first, tokens))
-    found, leaves = [], []
+    leaves, out = [], None
     for level in range(1, s.depth + 1):
-        sizes = materialize(state.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("least")).where("size > 1"))
+        sizes = materialize(state.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))
         here = materialize(state.join(sizes, "path"))
         leaves.append(here.where(F.col("size") <= s.bucket).select("path", "key"))
         large = here.where(F.col("size") > s.bucket)
         if not large.limit(1).count():
             break
         if level == s.depth:
-            # cannot be told apart by sampled tokens: one candidate group, verified later
-            found.append(large.where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v")))
+            out = compare_large(materialize(large.join(sets.select("key", "brief"), "key").select("path", "size", "key", "brief")), s)
         else:
-            state = materialize(split(large.select("path", "key").join(sets, "key"), None, tokens))
+            state = materialize(split(large.select("path", "key").join(sets.select("key", "sketch"), "key"), None, tokens))
     every = leaves[0]
     for x in leaves[1:]:
         every = every.unionAll(x)
     # a bucket that lost members to other levels does not occur: sizes are per path
-    small = every.join(sets, "key").select("path", "key", "sketch").mapInArrow(brief, "path long, key binary, brief binary")
-    out = compare_buckets(small, s)
-    for x in found:
-        out = out.unionAll(x)
-    return out
+    small = compare_buckets(every.join(sets.select("key", "brief"), "key").select("path", "key", "brief"), s)
+    return small if out is None else small.unionAll(out)
 
 
 def verify(members: DataFrame, s: Settings) -> DataFrame:
@@ -292,16 +385,20 @@ def join_similar(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
       words are one shingle.  Null and empty texts are copies of each other and
       have no links.
     * Every repeated row is returned.  A null doc_id is returned as null and is
-      never the least unless all of its class are null.
+      never the least unless all of its class are null.  Rows that share an id
+      but not a text are decided each by its text.
+    * A very long text is one set: a task holds its shingles, and a block of
+      the check no more than ``block_tokens`` beside it.
     * Other columns are ignored; an empty table gives an empty one.
     """
-    lean = docs.select("doc_id", "text")
-    sig = materialize(signatures(lean, s))
-    texts = materialize(sig.groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies")))
-    sets = materialize(sig.where("n > 0").select("key", "sketch").dropDuplicates(["key"]))
+    lean = docs.select("doc_id", "text", row_hash(F.col("text")).alias("th"))
+    sig = materialize(signatures(docs, s))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "th")).alias("one")
+    texts = materialize(sig.groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), one))
+    sets = materialize(sig.where("n > 0").select("key", "sketch", "brief").dropDuplicates(["key"]))
     groups = components(candidate_links(sets, s)).select(F.col("u").alias("key"), F.col("label").alias("comp"))
     # one row of each candidate text has its shingles taken again, exactly
-    asked = texts.join(groups, "key").select(F.col("copy_of").alias("id"), F.col("key").alias("want"), "comp")
+    asked = texts.join(groups, "key").select(F.col("one.doc_id").alias("id"), F.col("one.th").alias("of"), F.col("key").alias("want"), "comp")
     words = s.words
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,18 +406,18 @@ def join_similar(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             h, owner, w, offsets = shingles(part, words)
             ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             keys = [xxhash.xxh3_128_digest(w[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            # rows that share an id can hold other texts
+            # rows that share an id and a hash could hold other texts
             ok = [i for i, (k, x) in enumerate(zip(keys, batch.column("want").to_pylist(), strict=True)) if k == x]
             rows = [np.unique(h[ends[i] : ends[i + 1]]).tobytes() for i in ok]
             cols = [batch.column("comp").take(pa.array(ok, pa.int64())), batch.column("want").take(pa.array(ok, pa.int64())), pa.array(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["comp", "key", "set"])
 
-    fetched = lean.join(asked.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("comp", "want", "text")
+    fetched = lean.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("of"))).select("comp", "want", "text")
     members = materialize(fetched.mapInArrow(exact, "comp binary, key binary, set binary").dropDuplicates(["key"]))
     checked = materialize(verify(members, s))
     named = components(checked.select(F.col("key").alias("u"), F.col("label").alias("v")).where("u <> v"))
     links = checked.groupBy("key").agg(F.sum("links").alias("n_links"))
-    info = texts.join(links, "key", "left").join(named.withColumnRenamed("u", "key"), "key", "left").withColumn("class", F.coalesce("label", "key"))
+    info = texts.drop("one").join(links, "key", "left").join(named.withColumnRenamed("u", "key"), "key", "left").withColumn("class", F.coalesce("label", "key"))
     info = materialize(info.select("key", "class", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
     heads = materialize(info.groupBy("class").agg(F.min("copy_of").alias("class_id")))
     info = materialize(info.join(heads, "class").select("key", "class_id", "copy_of", "n_copies", "n_links"))

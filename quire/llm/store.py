@@ -7,6 +7,7 @@ carries its real size, which the planner uses to pick join strategies.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,21 +15,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_KNOWN: set[str] = set()
 
 
 def workspace(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only where none is set."""
-    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    """The folder of this application below the shared one; it is deleted when the application ends.
+
+    Without ``spark.checkpoint.dir`` a temporary folder will do for a session whose
+    executors are on this machine; on a cluster that is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+        base = context.getCheckpointDir()
+    folder = f"{base.rstrip('/')}/quire-{context.applicationId}"
+    if folder not in _KNOWN:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _KNOWN.add(folder)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table."""
     spark = df.sparkSession
-    path = f"{workspace(spark)}/quire/{uuid.uuid4().hex}"
+    path = f"{workspace(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,8 @@ dictionary encoded, so Python touches each distinct word once and numpy the rest
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,21 @@ def texts_of(column) -> pa.LargeStringArray:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+@functools.cache
+def _trim():
+    """The C library's call that gives freed memory back, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def relax() -> None:
+    """Give the memory of finished chunks back: workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.LargeStringArray]]:
     """Slices of at most ``size`` bytes of text (or one row) with their texts."""
     for batch in batches:
@@ -38,6 +55,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES
             # only the slice is copied: a batch can hold many long texts
             yield batch.slice(at, to - at), texts_of(column.slice(at, to - at))
             at = to
+            relax()
 
 
 def split_words(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
