@@ -1,14 +1,18 @@
 """Exact top-k inner products by no-random-access aggregation (NRA).
 
 Queries and candidates are dealt into blocks of bounded size; a task meets one
-pair of blocks.  In it every dimension has a sorted list of the candidates'
-values, read from the top for positive and from the bottom for negative query
-components.  After reading to some depth, a candidate's score is at most
-``q+ . max(x, f) + q- . min(x, g)`` and at least the same with unread values
-replaced by the lists' far ends, where f and g are the values at which reading
-stands.  Candidates whose upper bound is under the k-th lower bound of every
-query are outsiders and are read no further; reading stops when no more than the
-survivors can qualify, and their final scores are resolved exactly.
+pair of blocks.  It takes the candidates in portions.  A portion has, for every
+dimension, a list of its values in order.  A query reads the lists of its
+components step by step, from the top where the component is positive and from
+the bottom where it is negative, and knows of each candidate
+
+* a lower bound: what was read of it, and for the rest the far ends of the lists;
+* an upper bound: what was read of it, and for the rest where reading stands.
+
+Candidates whose upper bound is under the k-th best lower bound, or under the k-th
+best score of the portions before, are outsiders.  Each query stops on its own,
+when so few others are left that resolving their scores takes less than the next
+step; a portion whose lists begin too low is not read at all.
 """
 
 from __future__ import annotations
@@ -18,54 +22,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048  # candidates in a block
+BLOCK = 16_384  # candidates in a block
 QUERY_BLOCK = 1024
-DEPTHS = (0.125, 0.25, 0.5)  # of each list, read before the bounds are compared
+PORTION = 2048  # candidates whose lists are read together
+FIRST = 32  # the first step reads one FIRST-th of each list, each further one twice the last
 SCHEMA = "query_id long, vec_id long, score long"
 
 
 def exact_kind(x: np.ndarray, q: np.ndarray):
-    """The fastest type in which all inner products are exact."""
+    """A type in which all sums of products are exact."""
     most = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, x.shape[1])
-    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    return np.float64 if most < 1 << 53 else np.int64
+
+
+class Lists:
+    """A portion of the candidates with a sorted list for every dimension."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(x, self.order, axis=0)
+
+
+def survivors(q: np.ndarray, lists: Lists, own: np.ndarray, k: int, bar, read: dict) -> np.ndarray:
+    """The candidates that can be among the k best and have ``bar`` or more; ``own`` ones take no part.
+
+    read["list"] counts the components that were read."""
+    n, dims = len(lists.ids), np.flatnonzero(q)
+    alive = np.flatnonzero(~own)
+    if not len(dims) or len(alive) <= k:
+        return alive
+    up = q[dims] > 0
+    sides = [(dims[up], q[dims[up]], 1), (dims[~up], q[dims[~up]], -1)]
+    far = np.concatenate([w * lists.values[0 if s > 0 else -1, d] for d, w, s in sides])
+    near = np.concatenate([w * lists.values[-1 if s > 0 else 0, d] for d, w, s in sides])
+    if bar is not None and near.sum() < bar:
+        return alive[:0]
+    seen, unread, at, step = np.zeros(n, q.dtype), np.ones((n, len(dims)), q.dtype), 0, max(1, n // FIRST)
+    while at < n:
+        to, first, frontier = min(n, at + step), 0, []
+        for d, w, s in sides:
+            rows = slice(at, to) if s < 0 else slice(n - to, n - at)
+            who, what = lists.order[rows, :][:, d], lists.values[rows, :][:, d] * w
+            if q.dtype == np.float64:
+                seen += np.bincount(who.ravel(), what.ravel(), n)
+            else:
+                np.add.at(seen, who, what)
+            unread[who, np.arange(first, first + len(d))] = 0
+            frontier.append(what[-1 if s < 0 else 0])
+            first += len(d)
+        read["list"] += (to - at) * len(dims)
+        at, step = to, 2 * step
+        least = np.partition((seen + unread @ far)[alive], len(alive) - k)[len(alive) - k] if len(alive) >= k else None
+        bar = least if bar is None else bar if least is None else max(bar, least)
+        # equal bounds may still win by id, so only smaller ones are outsiders
+        alive = alive[(seen + unread @ np.concatenate(frontier))[alive] >= bar]
+        if len(alive) <= step:
+            break
+    return alive
 
 
-def nra_topk(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def nra_topk(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int, read: dict | None = None) -> list[tuple[int, int, int]]:
     """(query, vector, score) of each query's k best in the block, ties to the smaller vector.
 
-    q, x: integers.  A candidate with the query's own id takes no part."""
+    q, x: integers.  Candidates with the query's own id take no part.  read
+    counts components: "list" in order, "final" to resolve scores."""
+    read = {} if read is None else read
+    read |= {"list": 0, "final": 0}
     kind = exact_kind(x, q)
     q, x = q.astype(kind), x.astype(kind)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    # k + 1 bounds: one of the k best may be the query itself
-    need, alive, n = k + 1, np.arange(len(x)), len(x)
-    ascending = np.sort(x, axis=0)
-    low, high = ascending[0], ascending[-1]
-    for depth in DEPTHS:
-        at = int(n * depth)
-        if len(alive) <= need or at < 1:
-            break
-        f, g, rows = ascending[n - at], ascending[at - 1], x[alive]
-        upper = up @ np.maximum(rows, f).T + down @ np.minimum(rows, g).T
-        lower = up @ np.where(rows >= f, rows, low).T + down @ np.where(rows <= g, rows, high).T
-        bar = np.partition(lower, len(alive) - need, axis=1)[:, len(alive) - need]
-        # equal bounds may still win by id, so only smaller ones are outsiders
-        alive = alive[(upper >= bar[:, None]).any(axis=0)]
-    scores = (q @ x[alive].T).astype(np.int64)
-    ids = vid[alive]
-    out = []
-    take = min(len(ids), k + 1)
-    if not take:
-        return out
-    for i in range(len(qid)):
-        # everything at or above the (k + 1)-th best, then ties by id
-        row = scores[i]
-        edge = np.partition(row, len(row) - take)[len(row) - take]
-        at = np.flatnonzero(row >= edge)
-        at = at[ids[at] != qid[i]]
-        for j in at[np.lexsort((ids[at], -row[at]))][:k]:
-            out.append((int(qid[i]), int(ids[j]), int(row[j])))
-    return out
+    best: list[list] = [[] for _ in qid]
+    for at in range(0, len(x), PORTION):
+        lists = Lists(vid[at : at + PORTION], x[at : at + PORTION])
+        for i in range(len(qid)):
+            bar = -best[i][k - 1][0] if len(best[i]) >= k else None
+            left = survivors(q[i], lists, lists.ids == qid[i], k, bar, read)
+            if len(left):
+                read["final"] += lists.x.shape[1] * len(left)
+                scores = (lists.x[left] @ q[i]).astype(np.int64)
+                best[i] = sorted(best[i] + list(zip((-scores).tolist(), lists.ids[left].tolist(), strict=True)))[:k]
+    return [(int(i), v, -s) for i, found in zip(qid, best, strict=True) for s, v in found]
 
 
 def quantise(v, scale: int):
@@ -78,19 +114,19 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, blo
     Queries are the rows whose vec_id is divisible by ``every``; candidates all
     rows but the query's own id.
 
-    * Vectors that are null, empty, or hold null or non-finite components take
-      no part; neither do rows without vec_id.  Vectors of other lengths than
-      the query's are not compared with it.
-    * Repeated rows of one vec_id: the smallest vector counts.  Ties go to the
-      smaller vec_id; fewer than k candidates give all.  Empty table: empty.
+    * Vectors that are null or hold null or non-finite components take no part;
+      neither do rows without vec_id.  Vectors of other lengths than the query's
+      are not compared with it; empty ones score 0 with each other.
+    * Every repeated row is a candidate; the results of repeated query rows are
+      ranked together.  Ties go to the smaller vec_id; fewer than k candidates
+      give all.  Other columns are ignored.  Empty table: empty.
     """
     bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     clean = (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
-        .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+        .where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
         .where(~bad)
         .select("vec_id", quantise(F.col("embedding"), scale).alias("v"))
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
         .withColumn("dim", F.size("v"))
     )
     from quire.llm.store import materialize
@@ -107,8 +143,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, blo
         return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
     # each row goes once to every block of the other side, and no pair of rows is formed outside a task
-    rows = clean.select("dim", "vec_id", "v", dealt(F.col("vec_id"), blocks).alias("b"), every_of(query_blocks).alias("qb"))
-    queries = asked.select("dim", "vec_id", "v", dealt(F.col("vec_id"), query_blocks).alias("qb"), every_of(blocks).alias("b"))
+    # the vector is part of the hash: many rows of one id are spread
+    rows = clean.select("dim", "vec_id", "v", dealt(F.struct("vec_id", "v"), blocks).alias("b"), every_of(query_blocks).alias("qb"))
+    queries = asked.select("dim", "vec_id", "v", dealt(F.struct("vec_id", "v"), query_blocks).alias("qb"), every_of(blocks).alias("b"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
