@@ -4,8 +4,8 @@ Calls and results are hash-joined by identifier; a call names at most one call
 that must come before it, so the calls of a conversation are a forest, and their
 depths are found by pointer doubling (log2 of the longest chain rounds, each a
 join on conversation and call).  Arguments are checked against schemas and
-serialised as canonical JSON through the variant type, whose objects keep their
-keys in order.  DataFrame functions only; no conversation is gathered in one
+serialised as canonical JSON: the variant type keeps the keys of an object in
+order, and every number outside of strings is then written by one rule.  DataFrame functions only; no conversation is gathered in one
 task, so one that holds a third of all rows is no different from others.
 """
 
@@ -20,9 +20,39 @@ from quire.llm.store import materialize
 TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "boolean": ("BOOLEAN",), "number": ("BIGINT", "DOUBLE", "DECIMAL")}
 
 
+#: Strings, numbers, and what lies between them.  The quantifiers are possessive:
+#: no step back into a string, however long it is.
+TOKENS = r'"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
+
+
+def number(token):
+    """The one spelling of a JSON number: that of RFC 8785 (ECMAScript), but a whole number
+    that is written without point or exponent keeps all of its digits, however large.
+
+    So 1, 1.0, 10e-1 are ``1``; 1e21 is ``1e+21``; 0.0000001 is ``1e-7``; -0 is ``0``."""
+    d = token.cast("double")
+    text, size = d.cast("string"), F.abs(d)
+    # the digits of the shortest spelling without an exponent
+    large, small = d.cast("decimal(38,10)").cast("string"), d.cast("decimal(38,30)").cast("string")
+    plain = F.when(size >= 1e7, large).when(size < 1e-3, small).otherwise(text)
+    plain = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    short = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), "E(-?)", "e$1")
+    scientific = F.when(size >= 1, F.regexp_replace(short, "e", "e+")).otherwise(short)
+    whole = F.when(token == "-0", "0").otherwise(token)
+    spelt = F.when(d == 0, "0").when((size >= 1e-6) & (size < 1e21), plain).otherwise(scientific)
+    return F.when(token.rlike("^-?[0-9]+$"), whole).otherwise(spelt)
+
+
+def respelt(json):
+    """JSON text with every number in its one spelling; keys must be in order already."""
+    tokens = F.regexp_extract_all(json, F.lit(TOKENS), F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^[-0-9]"), number(t)).otherwise(t)), "")
+
+
 def canonical(json):
-    """JSON text with keys in code-point order and no spaces; null if it isn't JSON."""
-    return F.to_json(F.try_parse_json(json))
+    """JSON text with the keys of every object in code-point order, no spaces and one spelling
+    per number; null if it isn't JSON."""
+    return respelt(F.to_json(F.try_parse_json(json)))
 
 
 def argument_error(schemas: dict):
@@ -93,7 +123,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
       lowest (turn, name, arguments, after) counts, nulls first; several results:
       the lowest content that isn't null.
     * Rows without conv_id or call_id, and results of no call, are left out.
-    * Null arguments: ``not JSON``.  Empty tables: empty result.
+    * Null arguments: ``not JSON``.  Empty tables: empty result.  Very long
+      arguments and contents are kept whole.  Other columns are ignored.
     """
     one = (
         calls.where("conv_id is not null and call_id is not null")
@@ -109,14 +140,16 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
     )
     message = F.to_json(
         F.struct(
-            F.try_parse_json("arguments").alias("arguments"),
             F.col("after"),
+            F.try_parse_json("arguments").alias("arguments"),
             F.col("content"),
             F.col("call_id").alias("id"),
             F.col("name"),
         ),
         {"ignoreNullFields": "false"},
     )
+    # strings in the message hold no numbers of its own, and its keys are in order
+    message = respelt(message)
     return out.select("conv_id", "call_id", "turn", "depth", "error", status.alias("status"), message.alias("message"))
 
 
@@ -164,7 +197,7 @@ WITH RECURSIVE a AS (
 )
 SELECT a.conv_id, a.turn::VARCHAR AS call_id, a.turn, d.depth, NULL::VARCHAR AS error,
        CASE WHEN u.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-       '{"arguments":{"text":' || to_json(a.text) || ',"turn":' || a.turn || '},"after":"' || (a.turn - 2)
-         || '","content":' || coalesce(to_json(u.content)::VARCHAR, 'null') || ',"id":"' || a.turn || '","name":"reply"}' AS message
+       '{"after":"' || (a.turn - 2) || '","arguments":{"text":' || to_json(a.text) || ',"turn":' || a.turn
+         || '},"content":' || coalesce(to_json(u.content)::VARCHAR, 'null') || ',"id":"' || a.turn || '","name":"reply"}' AS message
 FROM a JOIN d USING (conv_id, turn) LEFT JOIN u USING (conv_id, turn)
 """
