@@ -8,7 +8,6 @@ of 2**bits floats, so scoring reads each text once and shuffles nothing.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,9 +39,6 @@ class Model:
     offset: float
 
 
-_RUN = re.compile(r"(\w)\1+|(\W)\2*")
-
-
 def shape(word: str) -> str:
     """Letters as a or A, digits as 0, other characters kept, runs collapsed."""
     out = []
@@ -82,7 +78,9 @@ def indicators(texts: pa.LargeStringArray, bits: int) -> tuple[np.ndarray, np.nd
 def fit(rows: list[np.ndarray], y: np.ndarray, s: Settings) -> Model:
     """rows: columns of each document's indicators; y: 1 or 0."""
     dim = 1 << s.bits
-    fitting = np.arange(len(rows)) % s.calibration != 0 if len(rows) >= 40 else np.ones(len(rows), bool)
+    fitting = np.arange(len(rows)) % s.calibration != 0
+    if len(rows) and y.min() < y.max() and len(set(y[fitting])) < 2:
+        fitting[:] = True  # only the held-out rows have one of the labels
     if len(rows) == 0 or y.min() == y.max():
         p = (float(y.sum()) + 1) / (len(y) + 2)
         return Model(np.zeros(dim), np.zeros(dim), 0.0, 1.0, float(np.log(p / (1 - p))))
@@ -141,15 +139,17 @@ def sample_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     """``doc_id, text, y``: the labelled training rows with the lowest hash of the id.
 
     Rows with crc32(doc_id as text) mod 5 = 0 are held out; several labels of a
-    document count as their minimum.  At most ``sample_rows`` ids, so the id
-    list is safe to broadcast."""
+    document count as their minimum, several texts as the smallest.  At most
+    ``sample_rows`` ids, so the id list is safe to broadcast and the sample has
+    as many rows."""
     ids = (
         labels.where("doc_id is not null and quality is not null")
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
         .groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").cast("int").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(s.sample_rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
@@ -165,15 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
 
     sample = sample_rows(docs, labels, s)
     kind = sample.schema["doc_id"].dataType.simpleString()
-    # repeated rows of a document add nothing; ids are in order, so reruns agree
+    # ids are in order, so reruns agree
     found = sample.mapInArrow(run, f"doc_id {kind}, y int, x binary").toArrow().sort_by("doc_id")
-    rows, y, last = [], [], None
-    for key, label, x in zip(found["doc_id"].to_pylist(), found["y"].to_pylist(), found["x"], strict=True):
-        if key != last:
-            rows.append(np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64))
-            y.append(label)
-            last = key
-    return fit(rows, np.array(y, dtype=np.int64), s)
+    rows = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in found["x"]]
+    return fit(rows, found["y"].to_numpy().astype(np.int64), s)
 
 
 def probabilities(texts: pa.LargeStringArray, model: Model, bits: int) -> np.ndarray:
@@ -190,7 +185,9 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     * Null and empty texts have no indicators: the score of the bias alone.
     * Equal texts score equally; every repeated row is returned.  A null doc_id
       is returned as null.  Other columns are ignored.
-    * Without labels of both classes every score is the smoothed share of 1.
+    * Without labels of both classes every score is the smoothed share of 1;
+      an empty table gives an empty one.
+    * A very long text is read whole, by one task.
     """
     shared, bits = docs.sparkSession.sparkContext.broadcast(model), s.bits
 
@@ -203,7 +200,10 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    """The rows of ``docs``, all columns, whose score reaches the threshold.
+
+    Rows are judged each by its text, as ``score`` does; null ids and repeated
+    rows stay what they are."""
     shared, bits, least = docs.sparkSession.sparkContext.broadcast(model), s.bits, s.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
