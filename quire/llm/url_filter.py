@@ -95,7 +95,9 @@ def lexical(df: DataFrame) -> DataFrame:
     for x in seen:
         entropy = entropy + term(x)
     digits = F.length(url) - F.length(F.translate(url, "0123456789", ""))
-    query = F.when(F.instr(url, "?") > 0, F.substring_index(F.substring(url, F.instr(url, "?") + 1, F.length(url)), "#", 1)).otherwise(F.lit(""))
+    # a ? behind the first # is part of the fragment
+    front = F.substring_index(url, "#", 1)
+    query = F.when(F.instr(front, "?") > 0, F.substring(front, F.instr(front, "?") + 1, F.length(front))).otherwise(F.lit(""))
     return df.select(
         "*",
         n.alias("length"),
@@ -235,7 +237,8 @@ def judge_urls(pages: DataFrame, rules=RULES, settings: Settings = Settings()) -
     score is the trees' probability to block, for every row; the verdict is the
     rule's where one fits, else block if score >= 0.5.
 
-    * Null url, or none with ``://``: empty host and path, no rule fits.
+    * Null url, or none with ``://``: empty host and path, no rule fits.  A very
+      long url is judged whole.
     * Repeated rows are judged alike; a label counts once per row.
     * Without any labelled row the score is 0.5 and the verdict allow; an empty
       table gives an empty one.  Other columns are ignored.
