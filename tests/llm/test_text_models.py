@@ -265,6 +265,62 @@ def test_shape_covers_the_whole_word():
     assert quality.shape("a" * 64 + "1B") == "a0A"
 
 
+def test_fit_against_a_quadratic_program():
+    """Ratios by definition; the dual of the hinge loss by projected gradient over all variables."""
+    rng = np.random.default_rng(4)
+    s = quality.Settings(bits=6, epochs=4000, calibration=5)
+    y = rng.integers(0, 2, 60)
+    rows = [np.unique(rng.integers(0, 64, 12) // (1 + k)) for k in y]
+    got = quality.fit(rows, y, s)
+    fitting = [i for i in range(60) if i % 5]
+    count = np.ones((2, 64))
+    for i in fitting:
+        for c in rows[i]:
+            count[y[i], c] += 1
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    x = np.zeros((60, 64))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r]
+        x[i] /= np.linalg.norm(x[i])
+    x = np.hstack([x, np.ones((60, 1))])
+    sign = np.where(y > 0, 1.0, -1.0)
+    a = x[fitting] * sign[fitting, None]
+    share = np.bincount(y[fitting], minlength=2)
+    most = np.array([len(fitting) / (2 * share[y[i]]) for i in fitting])
+    dual, pace = np.zeros(len(fitting)), 1 / np.linalg.eigvalsh(a @ a.T).max()
+    for _ in range(100_000):
+        dual = np.clip(dual + pace * (1 - a @ (a.T @ dual)), 0, most)
+    margin = x @ (a.T @ dual)
+    length = np.array([np.linalg.norm(ratio[r]) for r in rows])
+    mine = np.array([got.weights[r].sum() for r in rows]) / length + got.bias
+    assert mine == pytest.approx(margin, abs=0.02)
+    assert got.squares == pytest.approx(ratio**2) and got.slope > 0
+
+
+def test_indicators_by_definition():
+    """The distinct hashes of a text's n-grams, as many as there are without collisions."""
+    texts = ["the cat the cat sat", "", "A1 a1 a1 a1 b!!", " one\tone\n"]
+    who, column = quality.indicators(pa.array(texts, pa.large_string()), 40)
+    for i, t in enumerate(texts):
+        w, n = words(t), lambda x, k: {("n", k, tuple(x[j : j + k])) for j in range(len(x) - k + 1)}
+        look = [quality.shape(x) for x in w]
+        want = n(w, 1) | n(w, 2) | {("s", *g) for k in (1, 2, 3) for g in n(look, k)}
+        want |= {("r", k) for k in (2, 3) if any(len(set(w[j : j + k])) == 1 for j in range(len(w) - k + 1))}
+        assert (who == i).sum() == len(want) and len(set(column[who == i])) == len(want)
+
+
+def test_repeated_ids_are_learnt_by_the_smallest_text(spark):
+    rows = [(i, f"good words {i}" if i % 2 else f"BAD!! 00 {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    more = rows + [(i, "zzz " + t) for i, t in rows] + rows[:9] + [(None, "x"), (3, None)]
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    one, two = quality.train(make(rows), labels), quality.train(make(more[::-1]), labels)
+    assert (one.weights == two.weights).all() and (one.bias, one.slope) == (two.bias, two.slope)
+    assert quality.sample_rows(make(more), labels, quality.Settings()).count() == quality.sample_rows(make(rows), labels, quality.Settings()).count()
+    long = make([(1, "good words " * 300_000), (2, "x" * 3_000_000)])
+    assert quality.score(long, one).count() == 2
+
+
 def test_quality_without_labels(spark):
     df = frame(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -300,7 +356,7 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("s", [near_dup.Settings(), near_dup.Settings(bucket=4, depth=3, block_rows=8, block_tokens=900)])
+@pytest.mark.parametrize("s", [near_dup.Settings(), near_dup.Settings(bucket=4, depth=3, block_rows=8, block_tokens=900, pivots=2, block_keys=8)])
 def test_join_against_brute_force(spark, s):
     rng = random.Random(7)
     vocab = [f"v{i}" for i in range(500)]
@@ -336,6 +392,40 @@ def test_a_large_group_of_near_copies(spark):
     assert all(near_dup.recall(s, level) > 0.9999 for level in range(1, s.depth + 1))
 
 
+def test_shared_template(spark):
+    """1,200 texts with half of their shingles in common: pairs at the threshold are found in buckets that
+    stay large, and unrelated texts are not candidates of each other."""
+    rng = random.Random(11)
+    template = [f"t{k}" for k in range(44)]
+    texts = [template + [f"o{i}x{k}" for k in range(30)] for i in range(1000)]
+    for i in range(200):
+        w = list(texts[i])
+        w[44 + rng.randrange(5, 25)] = f"changed{i}"
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    pair = lambda i, j: len(sets_of(rows[i][1]) & sets_of(rows[j][1])) / len(sets_of(rows[i][1]) | sets_of(rows[j][1]))
+    assert 0.35 < pair(3, 7) < 0.6 and all(0.8 <= pair(i, 1000 + i) < 0.9 for i in range(200))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    s = near_dup.Settings()
+    got = {r.doc_id: r.class_id for r in near_dup.join_similar(df, s).collect()}
+    found = sum(got[1000 + i] == got[i] == i for i in range(200))
+    assert found >= 198 and all(got[i] == i for i in range(1000))
+    from quire.llm.graph import components
+
+    sets = near_dup.signatures(df, s).select("key", "sketch", "brief")
+    groups = components(near_dup.candidate_links(sets, s)).groupBy("label").count()
+    assert groups.agg({"count": "max"}).first()[0] <= 4
+
+
+def test_null_and_repeated_ids(spark):
+    """Each text is decided on its own, and many rows without an id are no burden for each other."""
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    rows = [(None, own(k // 2)) for k in range(600)] + [(5, own(1000 + k // 2)) for k in range(600)] + [(None, own(3) + " end")]
+    out = near_dup.join_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and {r.n_copies for r in out} == {1, 2} and sum(r.n_links for r in out) == 3
+    assert near_dup.join_similar(spark.createDataFrame([(1, "a b " * 500_000 + "c"), (2, "a b " * 500_000), (3, "x" * 2_000_000)], "doc_id long, text string")).count() == 3
+
+
 def test_join_empty(spark):
     assert near_dup.join_similar(frame(spark, ["x"]).limit(0)).count() == 0
 
