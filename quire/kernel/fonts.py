@@ -94,6 +94,10 @@ class Font:
             every = [self.glyph(i) for i in range(256)]
             self.texts = [t for t, _ in every]
             self.advances = [w for _, w in every]
+            # what the printable codes of ASCII stand for, and one width for all, if they are that simple
+            self.plain = self.texts[32:127] == [chr(c) for c in range(32, 127)]
+            self.width = self.advances[0] if len(set(self.advances)) == 1 else None
+            self.width_of = self.advances.__getitem__
 
     def glyph(self, code: int) -> tuple[str, float]:
         if code not in self.known:
@@ -121,16 +125,14 @@ class Font:
     def show(self, data: bytes, size: float, char: float, word: float, scale: float) -> tuple[str, float]:
         """The text of a shown string and its advance in text space."""
         if not self.two_byte:
-            texts, advances = self.texts, self.advances
-            text = "".join([texts[c] for c in data])
-            if not char and not word and scale == 1.0:
-                advance = 0.0
-                for c in data:
-                    advance += advances[c] * size
-                return text, advance
-            advance = 0.0
-            for c in data:
-                advance += (advances[c] * size + char + (word if c == 32 else 0.0)) * scale
+            text = data.decode("latin-1")
+            if not (self.plain and text.isascii() and text.isprintable()):
+                texts = self.texts
+                text = "".join([texts[c] for c in data])
+            n = len(data)
+            advance = (n * self.width if self.width is not None else sum(map(self.width_of, data))) * size
+            if char or word or scale != 1.0:
+                advance = (advance + n * char + (data.count(b" ") * word if word else 0.0)) * scale
             return text, advance
         parts, advance = [], 0.0
         for i in range(0, len(data), 2):

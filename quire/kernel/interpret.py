@@ -17,13 +17,34 @@ TOKEN = re.compile(
     rb"|(.))",
     re.S,
 )
+_SPACE, _END = rb"[\x00\t\n\x0c\r ]", rb"(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z)"
+_NUMBER = rb"[+-]?(?:\d+\.?\d*|\.\d+)"
+_STRING = rb"\([^()\\]*\)"
+#: A whole operation, or two, of the kinds that most of a page's text consists of: a move
+#: (Tm, Td or T*) and a shown string.  Operands of any other form are left to TOKEN.
+MOVE_AND_SHOW = re.compile(
+    _SPACE + rb"*(?:" + (rb"(" + _NUMBER + rb")" + _SPACE + rb"+") * 6 + rb"Tm" + _END
+    + rb"|" + (rb"(" + _NUMBER + rb")" + _SPACE + rb"+") * 2 + rb"Td" + _END
+    + rb"|(T\*)" + _END
+    + rb"|(?=" + _STRING + _SPACE + rb"*Tj" + _END + rb"))"
+    + rb"(?:" + _SPACE + rb"*(" + _STRING + rb")" + _SPACE + rb"*Tj" + _END + rb")?"
+)
+#: A shown array of plain strings and numbers, and its elements.
+SHOW_ARRAY = re.compile(_SPACE + rb"*\[((?:" + _SPACE + rb"*(?:" + _STRING + rb"|" + _NUMBER + rb"(?=[\x00\t\n\x0c\r (\]])))*)" + _SPACE + rb"*\]" + _SPACE + rb"*TJ" + _END)
+ELEMENT = re.compile(rb"\(([^()\\]*)\)|(" + _NUMBER + rb")")
 WORDS = {b"true": True, b"false": False, b"null": None}
 EPS = 2.0  # how far from an axis a segment may lean
 
 
 def operations(b: bytes):
     """(operator, operands); a bad operand ends the stream, what came before counts."""
-    i, n, operands, match = 0, len(b), [], TOKEN.match
+    for op, operands, _ in operations_from(b, 0):
+        yield op, operands
+
+
+def operations_from(b: bytes, i: int):
+    """(operator, operands, position after it) of the operations from ``i`` on."""
+    n, operands, match = len(b), [], TOKEN.match
     while i < n:
         m = match(b, i)
         if not m:
@@ -42,7 +63,7 @@ def operations(b: bytes):
                 end = b.find(b"EI", i)
                 i = n if end < 0 else end + 2
             else:
-                yield op[:4], operands
+                yield op[:4], operands, i
             operands = []
         elif kind == 4:
             operands.append(Name(m[4].decode("utf-8", "replace")))
@@ -88,20 +109,23 @@ def interpret(content: bytes, fonts: dict, painted_only: bool = False) -> tuple[
         nonlocal tm
         if type(data) is not bytes:
             return
-        trm = product(tm, ctm)
-        f = fonts.get(font)
-        if f:
-            text, advance = f.show(data, size, char, word, scale)
+        a, b, c, d, e, f = tm
+        known = fonts.get(font)
+        if known:
+            text, advance = known.show(data, size, char, word, scale)
+        else:
+            text, advance = data.decode("latin-1"), (len(data) * (0.5 * size + char) + data.count(b" ") * word) * scale
+        if ctm is IDENTITY and not rise:
+            runs.append((text, e, f, advance, size, font))
         else:
-            text, advance = data.decode("latin-1"), 0.0
-            for c in data:
-                advance += (0.5 * size + char + (word if c == 32 else 0.0)) * scale
-        runs.append((text, rise * trm[2] + trm[4], rise * trm[3] + trm[5], advance, size, font))
-        tm = (*tm[:4], advance * tm[0] + tm[4], advance * tm[1] + tm[5])
+            trm = product(tm, ctm)
+            runs.append((text, rise * trm[2] + trm[4], rise * trm[3] + trm[5], advance, size, font))
+        tm = (a, b, c, d, advance * a + e, advance * b + f)
 
     def move(tx: float, ty: float) -> None:
         nonlocal tm, line
-        tm = line = product((1.0, 0.0, 0.0, 1.0, tx, ty), line)
+        a, b, c, d, e, f = line
+        tm = line = (a, b, c, d, tx * a + ty * c + e, tx * b + ty * d + f)
 
     def point(x: float, y: float) -> tuple:
         return (x * ctm[0] + y * ctm[2] + ctm[4], x * ctm[1] + y * ctm[3] + ctm[5])
@@ -113,7 +137,34 @@ def interpret(content: bytes, fonts: dict, painted_only: bool = False) -> tuple[
         elif abs(p[0] - q[0]) < EPS:
             to.append(("x", p[0]))
 
-    for op, o in operations(content):
+    i, n, fast, array = 0, len(content), MOVE_AND_SHOW.match, SHOW_ARRAY.match
+    while i < n:
+        m = fast(content, i)
+        if m:
+            i = m.end()
+            a, b, c, d, e, f, x, y, star, data = m.groups()
+            if a is not None:
+                tm = line = (float(a), float(b), float(c), float(d), float(e), float(f))
+            elif x is not None:
+                move(float(x), float(y))
+            elif star is not None:
+                move(0.0, -lead)
+            if data is not None:
+                show(data[1:-1])
+            continue
+        m = array(content, i)
+        if m:
+            i = m.end()
+            for text, shift in ELEMENT.findall(m[1]):
+                if shift:
+                    dx = -float(shift) / 1000.0 * size * scale
+                    tm = (*tm[:4], dx * tm[0] + tm[4], dx * tm[1] + tm[5])
+                else:
+                    show(text)
+            continue
+        op, o, i = next(operations_from(content, i), (None, None, n))
+        if op is None:
+            break
         if op == b"Tj":
             show(o[0] if o else None)
         elif op == b"TJ":

@@ -15,30 +15,36 @@ EPS = 2.0
 
 def lines(runs: list[tuple]) -> list[tuple[str, float, float]]:
     """(text, x, y) of each line; runs: (text, x, y, width, size, ...) in order of emission."""
-    out, text, head, end = [], "", None, 0.0
-    for r in sorted(runs, key=lambda r: (-r[2], r[1])):
+    if not runs:
+        return []
+    ordered = sorted(runs, key=order)
+    text, left, top, width, height = ordered[0][:5]
+    out, end = [], left + width
+    for r in ordered[1:]:
         t, x, y, width, size = r[:5]
-        if head is not None:
-            drop, em = abs(head[2] - y), max(head[4], size)
-            tolerance, back = max(0.4 * min(head[4], size), 1.0), end - x
-            if drop > tolerance or back > 2.0 * em or (back > 1.2 * em and drop > 0.1):
-                out.append((text, head[1], head[2]))
-                head = None
-        if head is None:
-            head, text = r, t
+        drop, back = abs(top - y), end - x
+        low, em = (height, size) if height < size else (size, height)
+        if drop > 0.4 * low and drop > 1.0 or back > 1.2 * em and (back > 2.0 * em or drop > 0.1):
+            out.append((text, left, top))
+            text, left, top, height = t, x, y, size
         else:
-            gap, em = x - end, max(size, 1.0)
-            if not text.endswith(" ") and not t.startswith(" "):
-                tight = text[-1:] and text[-1] in TIGHT_END or t[:1] and t[0] in TIGHT_START
+            gap = -back
+            if gap > 0 and t[:1] != " " and text[-1:] != " ":
+                em = size if size > 1.0 else 1.0
+                # without a character on either side nothing is tight
+                tight = text and text[-1] in TIGHT_END or t and t[0] in TIGHT_START
                 if gap > (0.5 if tight else 0.3) * em:
                     text += " "
             text += t
         end = x + width
-    if head is not None:
-        out.append((text, head[1], head[2]))
+    out.append((text, left, top))
     return out
 
 
+def order(r: tuple) -> tuple:
+    return -r[2], r[1]
+
+
 def cluster(values: list[float]) -> list[float]:
     out: list[float] = []
     for v in sorted(values):
