@@ -30,6 +30,7 @@ class Document:
         self.objects: dict[int, object] = {}
         self.packed: dict[int, tuple] = {}
         self.decryptor = None
+        self.lints: list[tuple[str, str]] = []  # (code, message) of what was read in spite of a fault
         self.trailer = self._read_chain()
         if "Root" not in self.trailer:
             raise PdfError("MissingTrailer", "the trailer has no /Root")
@@ -54,8 +55,8 @@ class Document:
             if hybrid is not None:
                 try:
                     self._add(self._section(hybrid)[1])
-                except PdfError:
-                    pass
+                except PdfError as e:
+                    self.lints.append(("RecoveredXref", f"hybrid section at {hybrid}: {e.message}"))
             offset = as_int(found.get("Prev"))
         return trailer or {}
 
@@ -149,7 +150,10 @@ class Document:
         if end < 0:
             raise PdfError("UnexpectedEof", "unterminated stream")
         body = self.data[start:end]
-        return body[:-2] if body.endswith(b"\r\n") else body[:-1] if body[-1:] in (b"\n", b"\r") else body
+        body = body[:-2] if body.endswith(b"\r\n") else body[:-1] if body[-1:] in (b"\n", b"\r") else body
+        if type(n) is int:
+            self.lints.append(("LengthMismatch", f"stream at {start}: {n} declared, {len(body)} found"))
+        return body
 
     def get(self, num: int):
         if num in self.objects:

@@ -7,6 +7,8 @@ CODES = (
     "InvalidHeader", "InvalidXref", "InvalidObject", "UnexpectedToken", "UnexpectedEof",
     "BadStream", "MissingTrailer", "ObjectNotFound", "Unsupported", "BadPassword",
 )
+#: The codes of faults in spite of which a file is read.
+LINTS = ("RecoveredXref", "LengthMismatch", "DroppedObject")
 
 
 class PdfError(Exception):

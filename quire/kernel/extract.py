@@ -19,6 +19,7 @@ def inspect(data: bytes, password: str = "") -> dict:
         "page_count": len(pages),
         "encrypted": doc.encrypted,
         "object_count": len(doc.xref),
+        "lints": list(doc.lints),
         **{k.lower(): v for k, v in doc.info().items()},
         "pages": [(i + 1, *p["media_box"], p["rotate"]) for i, p in enumerate(pages)],
     }
@@ -88,6 +89,19 @@ def objects(data: bytes, password: str = ""):
         yield num, "plain" if entry[0] == "n" else "packed", kind, str(name) if isinstance(name, Name) else None, shown(x)
 
 
+def lints(data: bytes, password: str = "") -> list[tuple[str, str]]:
+    """(code, message) of every fault in spite of which the file was read; all objects are loaded, none is decoded."""
+    doc = Document(data, password)
+    dropped = []
+    for num in sorted(doc.xref):
+        try:
+            if doc.xref[num][0] != "f":
+                doc.get(num)
+        except PdfError as e:
+            dropped.append(("DroppedObject", f"object {num}: {e.message}"))
+    return [*doc.lints, *dropped]
+
+
 def page_operations(data: bytes, password: str = ""):
     """(page_no, op_no, operator, operands) of every page's content."""
     doc = Document(data, password)
