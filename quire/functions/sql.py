@@ -8,18 +8,11 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quire.kernel import extract, filters, layout
+from quire.kernel import extract, filters, layout, rendering
 from quire.kernel.cos import Name
 from quire.kernel.errors import PdfError
 
 
-def page_lines(content: bytes, password: str = "") -> list[list[str]]:
-    out = []
-    for _, _, _, runs, segments, _ in extract.pages(content or b"", password or "", images=False):
-        out.append([t for t, _, _ in layout.lines(layout.table(segments, runs)[1])])
-    return out
-
-
 class PdfLines:
     """SELECT ... FROM files, LATERAL pdf_lines(content): the lines of each file; none if it cannot be read."""
 
@@ -28,41 +21,55 @@ class PdfLines:
             for no, _, _, runs, segments, _ in extract.pages(content or b"", password or "", images=False):
                 for k, (t, x, y) in enumerate(layout.lines(layout.table(segments, runs)[1])):
                     yield no, k + 1, t, x, y
-        except PdfError:
+        except (PdfError, RecursionError):
             return
 
 
-def pdf_text(content: pd.Series) -> pd.Series:
-    def one(b):
+def readable(f, fault=lambda e: None):
+    """``f`` of content, or ``fault`` of the error where a file cannot be read."""
+
+    def one(content):
         try:
-            return "\n\n".join("\n".join(p) for p in page_lines(b))
-        except PdfError:
-            return None
+            return f(content or b"")
+        except PdfError as e:
+            return fault(e)
+        except RecursionError:
+            return fault(PdfError("InvalidObject", "nested too deeply"))
 
-    return content.map(one)
+    return one
 
 
-def pdf_page_count(content: pd.Series) -> pd.Series:
-    def one(b):
-        try:
-            return extract.inspect(b or b"")["page_count"]
-        except PdfError:
-            return None
+def rendered(kind: str):
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(readable(lambda b: rendering.document(b, kind)))
+
+    return run
 
-    return content.map(one).astype("Int32")
+
+def pdf_page_count(content: pd.Series) -> pd.Series:
+    return content.map(readable(lambda b: extract.inspect(b)["page_count"])).astype("Int32")
 
 
 def pdf_error(content: pd.Series) -> pd.Series:
     """The error code of a file, null if it can be read."""
 
-    def one(b):
-        try:
-            page_lines(b)
-        except PdfError as e:
-            return e.code
-        return None
+    def every_page(b: bytes) -> None:
+        for _ in extract.pages(b, images=False):
+            pass
+
+    return content.map(readable(every_page, lambda e: e.code))
+
+
+def pdf_inspect(content: pd.Series) -> pd.DataFrame:
+    """Version, counts and metadata of a file without decoding its content."""
+    none = dict.fromkeys(INSPECTED)
+    rows = content.map(readable(extract.inspect, lambda e: none | {"error_code": e.code}))
+    return pd.DataFrame([[r.get(c) for c in INSPECTED] for r in rows], columns=list(INSPECTED), dtype=object)
+
 
-    return content.map(one)
+def pdf_lints(content: pd.Series) -> pd.Series:
+    """What was wrong with a file that could be read all the same, as code: message."""
+    return content.map(readable(lambda b: [f"{code}: {message}" for code, message in extract.lints(b)]))
 
 
 def pdf_decode_stream(filter: pd.Series, data: pd.Series) -> pd.Series:
@@ -79,8 +86,17 @@ def pdf_decode_stream(filter: pd.Series, data: pd.Series) -> pd.Series:
 
 #: SQL name -> (function over a column, type).  Made into Pandas UDFs on registration:
 #: that needs a session, which workers that import this module do not have.
+INSPECTED = {
+    "version": "string", "page_count": "int", "encrypted": "boolean", "object_count": "long",
+    "title": "string", "author": "string", "subject": "string", "creator": "string", "error_code": "string",
+}
 SCALARS = {
-    "pdf_text": (pdf_text, "string"),
+    "pdf_text": (rendered("text"), "string"),
+    "pdf_markdown": (rendered("markdown"), "string"),
+    "pdf_html": (rendered("html"), "string"),
+    "pdf_json": (rendered("json"), "string"),
+    "pdf_inspect": (pdf_inspect, ", ".join(f"{c} {t}" for c, t in INSPECTED.items())),
+    "pdf_lints": (pdf_lints, "array<string>"),
     "pdf_page_count": (pdf_page_count, "int"),
     "pdf_error": (pdf_error, "string"),
     "pdf_decode_stream": (pdf_decode_stream, "binary"),

@@ -113,13 +113,18 @@ class PdfFrames:
     def glyphs(self) -> DataFrame:
         return pdf.read_inner(self.files, "page_glyphs", self.password, self.mode)
 
+    @property
+    def lints(self) -> DataFrame:
+        """Faults in spite of which files were read."""
+        return pdf.read_inner(self.files, "lints", self.password, self.mode)
+
     def rendered(self, kind: str) -> DataFrame:
         """``doc_id, <kind>`` for text, paged, markdown, html or json."""
         return render.documents(self.texts if kind in ("text", "paged") else self.pages, self.docs if kind == "json" else None, kind)
 
     def register(self, spark: SparkSession, prefix: str = "pdf_") -> None:
         """Temporary views of all tables, named prefix + table."""
-        for name in ("docs", "pages", "runs", "segments", "images", "lines", "tables", "cells", "errors"):
+        for name in ("docs", "pages", "runs", "segments", "images", "lines", "tables", "cells", "errors", "lints"):
             getattr(self, name).createOrReplaceTempView(prefix + name)
 
 

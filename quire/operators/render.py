@@ -8,10 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TITLE = "quire"
-#: The note for a page that needs OCR, and what separates pages.
-OCR_NOTE = "_[scanned page — text extraction requires OCR]_"
-PAGE_RULE = "\n\n---\n\n"
+from quire.kernel.rendering import HTML_FOOT, HTML_HEAD, OCR_NOTE, PAGE_RULE
 
 
 def text():
@@ -70,8 +67,7 @@ def documents(pages: DataFrame, docs: DataFrame | None, kind: str) -> DataFrame:
     grouped = good.select("doc_id", "page_no", made.alias("part")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "part"))).alias("parts"))
     parts = F.transform("parts", lambda p: p["part"])
     if kind == "html":
-        top = f'<!DOCTYPE html>\n<html>\n<head><meta charset="utf-8"><title>{TITLE}</title></head>\n<body>\n'
-        body = F.concat(F.lit(top), F.array_join(parts, ""), F.lit("</body>\n</html>\n"))
+        body = F.concat(F.lit(HTML_HEAD), F.array_join(parts, ""), F.lit(HTML_FOOT))
     else:
         body = F.array_join(parts, {"text": "\n\n", "paged": "", "markdown": PAGE_RULE}[kind])
     return grouped.select("doc_id", body.alias(kind))

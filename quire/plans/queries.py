@@ -6,6 +6,8 @@ the SQL states what the extraction must give from the rows alone.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -242,7 +244,39 @@ def pdf_images(spark, sf_dir):
     return pages.select("doc_id", "i.name", "i.format", "i.width", "i.height", "i.bits_per_component", "i.color_space", "needs_ocr")
 
 
-@query("pdf_image_url")
+def _be(value: str) -> str:
+    """The four bytes of a number, most significant first, in SQL."""
+    return f"list_transform([24, 16, 8, 0], lambda k: ({value} >> k) & 255)"
+
+
+def _chunk(kind: bytes, body: str) -> str:
+    """A PNG chunk as a list of bytes in SQL; its check is a CRC-32 over ``crc``'s table."""
+    named = f"list_concat({list(kind)}, {body})"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {named}), lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"
+    return f"list_concat({_be(f'len({body})')}, list_concat({named}, {_be(crc)}))"
+
+
+#: The PNG of an 8-bit grey image whose rows are one stored block: built in SQL from the format's definition.
+PNG = f"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), v AS (
+  SELECT vec_id, len(embedding) // 8 AS h, list_transform(embedding, lambda x: greatest(0, least(255, trunc((x::DOUBLE + 1) * 127.5)))::BIGINT) AS s FROM embeddings
+), z AS (
+  SELECT vec_id, h, flatten(list_transform(range(h), lambda r: list_prepend(0, s[r * 8 + 1 : r * 8 + 8]))) AS raw FROM v
+), a AS (
+  SELECT *, len(raw) AS n, (1 + list_sum(raw)) % 65521 AS low, (len(raw) + list_sum(list_transform(raw, lambda x, i: x * (len(raw) - i + 1)))) % 65521 AS high FROM z
+), d AS (
+  SELECT vec_id, list_concat([120, 1, 1, n & 255, n >> 8, 255 - (n & 255), 255 - (n >> 8)], list_concat(raw, {_be('(high * 65536 + low)::BIGINT')})) AS data,
+         list_concat([0, 0, 0, 8], list_concat({_be('h')}, [8, 0, 0, 0, 0])) AS head FROM a
+), p AS (
+  SELECT vec_id, list_concat([137, 80, 78, 71, 13, 10, 26, 10], list_concat({_chunk(b'IHDR', 'head')}, list_concat({_chunk(b'IDAT', 'data')}, {_chunk(b'IEND', '[]::BIGINT[]')}))) AS png FROM d, t
+)
+SELECT vec_id AS doc_id, 'Im0' AS name,
+       'data:image/png;base64,' || to_base64(unhex(list_aggregate(list_transform(png, lambda x: format('{{:02x}}', x)), 'string_agg', ''))) AS data_url FROM p"""
+
+
+@query("pdf_image_url", PNG)
 def pdf_image_url(spark, sf_dir):
     return PdfFrames(vector_files(spark, sf_dir)).images.select("doc_id", "name", "data_url")
 
@@ -287,10 +321,29 @@ def readable_lines(spark, sf_dir) -> DataFrame:
     return PdfFrames(files, mode="DROPMALFORMED").lines.select("doc_id", "page_no", "line_no", "text")
 
 
-@query("pdf_dropmalformed", "SELECT doc_id, 1::INT AS page_no, string_split(coalesce(text, ''), chr(10))[1] AS text FROM documents WHERE doc_id % 6 IN (0, 5)")
+@query("pdf_dropmalformed", f"SELECT * FROM ({LINES}) WHERE doc_id % 6 IN (0, 5)")
 def pdf_dropmalformed(spark, sf_dir):
-    """The first line of every readable document, as the SQL has it; whole files are written and read."""
-    return readable_lines(spark, sf_dir).where("page_no = 1 and line_no = 1").select("doc_id", "page_no", "text")
+    """All lines of every readable document."""
+    return readable_lines(spark, sf_dir)
+
+
+def faulty(doc_id: int, text: str) -> bytes:
+    """A file that can be read in spite of a wrong /Length, or of an object that is no object."""
+    kind = doc_id % 3
+    good = writer.text_pdf(text or "", filter="none", title="t")
+    if kind == 1:
+        return re.sub(rb"/Length (\d+)", lambda m: b"/Length " + b"0" * len(m[1]), good, count=1)
+    return good.replace(b"/Creator", b")Creator", 1) if kind == 2 else good
+
+
+@query("pdf_lints", f"""
+SELECT d.doc_id, CASE d.doc_id % 3 WHEN 1 THEN 'LengthMismatch' ELSE 'DroppedObject' END AS code, count(*)::BIGINT AS n_lines
+FROM documents d JOIN ({LINES}) l ON l.doc_id = d.doc_id WHERE d.doc_id % 3 IN (1, 2) GROUP BY d.doc_id""")
+def pdf_lints(spark, sf_dir):
+    """The faults found, and the lines read in spite of them."""
+    frames = PdfFrames(writer.as_files(documents(spark, sf_dir), faulty, ["doc_id", "text"]))
+    lines = frames.lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return frames.lints.select("doc_id", "code").join(lines, "doc_id")
 
 
 @query("pdf_password_table", f"SELECT doc_id, max(page_no)::INT AS page_count, true AS encrypted FROM ({LINES}) GROUP BY doc_id")
@@ -338,6 +391,65 @@ def pdf_sql_udtf(spark, sf_dir):
     return spark.sql("SELECT doc_id, l.page_no, l.line_no, l.text, l.x, l.y FROM pdf_files, LATERAL pdf_lines(content) l")
 
 
+def in_sql(spark, sf_dir, expression: str, **variant) -> DataFrame:
+    sql_functions.register(spark)
+    writer.write_texts(documents(spark, sf_dir), **variant).createOrReplaceTempView("pdf_files")
+    return spark.sql(f"SELECT doc_id, {expression} FROM pdf_files")
+
+
+@query("pdf_sql_text", ORACLE["pdf_text"])
+def pdf_sql_text(spark, sf_dir):
+    return in_sql(spark, sf_dir, "pdf_text(content) AS text")
+
+
+@query("pdf_sql_markdown", ORACLE["pdf_markdown"])
+def pdf_sql_markdown(spark, sf_dir):
+    return in_sql(spark, sf_dir, "pdf_markdown(content) AS markdown")
+
+
+@query("pdf_sql_html", ORACLE["pdf_html"])
+def pdf_sql_html(spark, sf_dir):
+    return in_sql(spark, sf_dir, "pdf_html(content) AS html")
+
+
+@query("pdf_sql_json", PLACED)
+def pdf_sql_json(spark, sf_dir):
+    """The JSON of every document, parsed again."""
+    kind = "'version string, pages array<struct<lines:array<struct<text:string,x:double,y:double>>>>'"
+    docs = in_sql(spark, sf_dir, f"from_json(pdf_json(content), {kind}).pages AS pages")
+    pages = docs.select("doc_id", F.posexplode("pages").alias("p", "page"))
+    lines = pages.select("doc_id", (F.col("p") + 1).alias("page_no"), F.posexplode("page.lines").alias("k", "l"))
+    return lines.select("doc_id", "page_no", (F.col("k") + 1).alias("line_no"), "l.text", "l.x", "l.y")
+
+
+@query("pdf_sql_inspect", f"""
+SELECT doc_id, '1.7' AS version, max(page_no)::INT AS page_count, false AS encrypted, (2 * max(page_no) + 5)::BIGINT AS object_count,
+       'Tïtle α' AS title, 'quire' AS creator, NULL::VARCHAR AS error_code FROM ({LINES}) GROUP BY doc_id""")
+def pdf_sql_inspect(spark, sf_dir):
+    found = in_sql(spark, sf_dir, "pdf_inspect(content) AS i", title="Tïtle α")
+    return found.select("doc_id", *[f"i.{c}" for c in ("version", "page_count", "encrypted", "object_count", "title", "creator", "error_code")])
+
+
+@query("pdf_windows", f"""
+SELECT 1704067200 + 600 * (doc_id // 10) AS window_start, count(*)::BIGINT AS files, sum(pages)::BIGINT AS pages
+FROM (SELECT doc_id, max(page_no) AS pages FROM ({LINES}) GROUP BY doc_id) GROUP BY doc_id // 10""")
+def pdf_windows(spark, sf_dir):
+    """Files and pages in windows of ten minutes, from a stream in which a document arrives every minute."""
+    from quire.streaming.pdf import pages_per_window
+
+    folder = shared_folder(spark)
+    files = writer.write_texts(documents(spark, sf_dir)).withColumn("modificationTime", F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("doc_id")))
+    files.write.parquet(f"{folder}/files")
+    found = pages_per_window(spark.readStream.schema(files.schema).parquet(f"{folder}/files"))
+    lean = found.select(F.unix_timestamp("window.start").alias("window_start"), "files", "pages")
+    query_ = (
+        lean.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/windows")).start()
+    )
+    query_.awaitTermination()
+    return spark.read.schema(lean.schema).parquet(f"{folder}/windows")
+
+
 @query("pdf_stream", PLACED)
 def pdf_stream(spark, sf_dir):
     """The lines of all documents through a stream, which reads what is there and ends."""

@@ -1,14 +1,15 @@
 """``spark.read.format("pdf")``: the lines of files, as a Python data source.
 
-For paths that every worker can open (local disks, mounts).  Object stores are
-read through ``binaryFile`` by quire.sources.pdf, which is also the faster way
-for many small files; this source can skip pages when a filter names them.
+Paths are listed and opened through Arrow's file systems, on the driver and on the
+workers: object stores and HDFS by their URI, local disks and mounts where every
+worker has them.  quire.sources.pdf reads through Spark's ``binaryFile``, which is
+the faster way for many small files; this source can skip pages when a filter
+names them.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
@@ -48,22 +49,37 @@ class PdfReader(DataSourceReader):
         wanted = None if self.page is None else {self.page}
         for path in partition.paths:
             try:
-                with open(path, "rb") as f:
+                store, at = _store(path)
+                with store.open_input_stream(at) as f:
                     data = f.read()
                 rows = []
                 for no, _, _, runs, segments, _ in extract.pages(data, self.password, wanted, images=False):
                     rows += [(path, no, k + 1, t, x, y, None) for k, (t, x, y) in enumerate(layout.lines(layout.table(segments, runs)[1]))]
                 yield from rows
-            except PdfError as e:
+            except (PdfError, RecursionError) as e:
                 if self.page is None:
-                    yield (path, None, None, None, None, None, e.code)
+                    yield (path, None, None, None, None, None, e.code if isinstance(e, PdfError) else "InvalidObject")
+
+
+def _store(path: str):
+    """The file system of a path or URI, and the path in it."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
 
 
 def _expand(path: str, pattern: str) -> list[str]:
-    path = path.removeprefix("file://")
-    if os.path.isdir(path):
-        return sorted(glob.glob(os.path.join(glob.escape(path), "**", pattern), recursive=True))
-    return sorted(glob.glob(path))
+    """The files that match below a folder, or the one file that ``path`` names, as they were named."""
+    from pyarrow import fs
+
+    store, at = _store(path)
+    if store.get_file_info(at).type != fs.FileType.Directory:
+        return [path] if store.get_file_info(at).type == fs.FileType.File else []
+    front = path[: len(path) - len(at)] if path.endswith(at) else path.split("://", 1)[0] + "://"
+    found = store.get_file_info(fs.FileSelector(at, recursive=True))
+    return sorted(front + x.path for x in found if x.type == fs.FileType.File and fnmatch.fnmatch(x.base_name, pattern))
 
 
 class PdfDataSource(DataSource):

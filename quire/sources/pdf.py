@@ -27,6 +27,7 @@ PAGE = (
 DOC = (
     "version string, page_count int, encrypted boolean, object_count long, title string, author string, subject string, "
     "creator string, page_sizes array<struct<page_no:int,x0:double,y0:double,x1:double,y1:double,rotate:int>>, "
+    "lints array<struct<code:string,message:string>>, "
     "error_code string, error_message string"
 )
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
@@ -153,7 +154,10 @@ def read_pages(files: DataFrame, password: str = "", mode: str = "PERMISSIVE", p
 
 
 def read_docs(files: DataFrame, password: str = "", mode: str = "PERMISSIVE") -> DataFrame:
-    """One row per file in the DOC schema; page content is not decoded."""
+    """One row per file in the DOC schema; page content is not decoded.
+
+    lints: what was wrong with the structure of a file that could be read; the
+    ``lints`` table of read_inner looks at every object."""
     mode, lean = _checked(mode), _lean(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,19 +171,19 @@ def read_docs(files: DataFrame, password: str = "", mode: str = "PERMISSIVE") ->
             for doc_id, content, word in zip(batch.column("doc_id").to_pylist(), batch.column("content"), _passwords(batch, password), strict=True):
                 try:
                     d = extract.inspect(content.as_buffer().to_pybytes() if content.is_valid else b"", word)
-                    rows.append((doc_id, *[d[n] for n in names], d["pages"], None, None))
+                    rows.append((doc_id, *[d[n] for n in names], d["pages"], d["lints"], None, None))
                 except (PdfError, RecursionError) as e:
                     if mode == "FAILFAST":
                         raise
                     if mode == "PERMISSIVE":
                         code, message = (e.code, e.message) if isinstance(e, PdfError) else ("InvalidObject", "nested too deeply")
-                        rows.append((doc_id, *[None] * 8, None, code, message))
+                        rows.append((doc_id, *[None] * 8, None, None, code, message))
             if not rows:
                 continue
             cols = list(zip(*rows, strict=True))
             sizes = _list([x or [] for x in cols[9]], [I32, D, D, D, D, I32], ["page_no", "x0", "y0", "x1", "y1", "rotate"])
-            arrays = [pa.array(cols[0], batch.schema.field("doc_id").type), *[pa.array(c, k) for c, k in zip(cols[1:9], kinds, strict=True)], sizes, pa.array(cols[10], S), pa.array(cols[11], S)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names, "page_sizes", "error_code", "error_message"])
+            arrays = [pa.array(cols[0], batch.schema.field("doc_id").type), *[pa.array(c, k) for c, k in zip(cols[1:9], kinds, strict=True)], sizes, _list([x or [] for x in cols[10]], [S, S], ["code", "message"]), pa.array(cols[11], S), pa.array(cols[12], S)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names, "page_sizes", "lints", "error_code", "error_message"])
 
     return lean.mapInArrow(run, f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, {DOC}")
 
@@ -189,6 +193,7 @@ INNER = {
     "objects": "obj_num int, storage string, kind string, type string, value string",
     "page_operations": "page_no int, op_no int, operator string, operands array<string>",
     "page_glyphs": "page_no int, font string, code int, text string, width double, n long",
+    "lints": "code string, message string",
 }
 
 
@@ -220,7 +225,7 @@ def read_inner(files: DataFrame, table: str, password: str = "", mode: str = "PE
                         if len(rows) == rows_at_once:
                             yield made(doc_id, kind, rows)
                             rows = []
-                except PdfError:
+                except (PdfError, RecursionError):
                     if mode == "FAILFAST":
                         raise
                 if rows:

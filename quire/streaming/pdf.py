@@ -6,6 +6,9 @@ gives; modificationTime can carry a watermark for what follows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,11 +28,24 @@ def write_available(lines: DataFrame, out: str, checkpoint: str) -> StreamingQue
 
 
 def pages_per_window(files: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Pages and files that arrived in each window of modificationTime; later files than ``late`` are dropped."""
-    from quire.sources.pdf import read_docs
-
-    docs = read_docs(files).select("doc_id", "page_count")
-    timed = files.select("doc_id", "modificationTime").withWatermark("modificationTime", late)
-    # the stream is read once per side; both carry the path, so a file meets itself
-    joined = timed.join(docs, "doc_id")
-    return joined.groupBy(F.window("modificationTime", window)).agg(F.count("*").alias("files"), F.sum("page_count").alias("pages"))
+    """Files, readable files and pages that arrived in each window of modificationTime.
+
+    A file is read once and becomes its time and number of pages.  Files later
+    than ``late`` are dropped, and a window's state goes when it is past that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quire.kernel import extract
+        from quire.kernel.errors import PdfError
+
+        for batch in batches:
+            pages = []
+            for content in batch.column("content"):
+                try:
+                    pages.append(extract.inspect(content.as_buffer().to_pybytes() if content.is_valid else b"")["page_count"])
+                except (PdfError, RecursionError):
+                    pages.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("modificationTime"), pa.array(pages, pa.int64())], names=["modificationTime", "pages"])
+
+    counted = files.select("modificationTime", "content").mapInArrow(run, "modificationTime timestamp, pages long")
+    timed = counted.withWatermark("modificationTime", late).groupBy(F.window("modificationTime", window))
+    return timed.agg(F.count("*").alias("files"), F.count("pages").alias("readable"), F.sum("pages").alias("pages"))

@@ -58,6 +58,30 @@ def test_rendering(files):
     assert '\n  "pages": [\n    {\n      "width": 612.0,' in found[1]
 
 
+def test_sql_renderers_agree_with_the_columns(spark, files):
+    """Text, tables, images and pages that need OCR, from content alone and from extracted pages."""
+    more = [(6, writer.table_pdf([["name", "b|c"], ["dd", "ee & <f>"]], "cap")), (7, writer.image_pdf(2, 2, b"\0\1\2\3", "with text"))]
+    every = files.unionAll(spark.createDataFrame(more, files.schema))
+    sql_functions.register(spark)
+    kinds = ("text", "markdown", "html", "json")
+    got = {r.doc_id: r for r in every.selectExpr("doc_id", *[f"pdf_{k}(content) as `{k}`" for k in kinds]).collect()}
+    assert got[2][1:] == got[4][1:] == (None,) * 4
+    for k in kinds:
+        want = {r.doc_id: r[k] for r in PdfFrames(every).rendered(k).collect()}
+        assert want == {i: r[k] for i, r in got.items() if r[k] is not None}
+    found = {r.doc_id: r for r in every.selectExpr("doc_id", "pdf_inspect(content) i", "pdf_lints(content) l", "pdf_error(content) e").collect()}
+    assert (found[3].i.page_count, found[3].i.encrypted, found[3].i.error_code, found[3].l, found[3].e) == (3, False, None, [], None)
+    assert (found[2].i.page_count, found[2].i.error_code, found[2].l, found[2].e) == (None, "InvalidHeader", None, "InvalidHeader")
+
+
+def test_lints_are_columns(spark):
+    good = writer.text_pdf("hello", filter="none")
+    at = good.index(b"/Length ") + 8
+    f = PdfFrames(spark.createDataFrame([(1, good), (2, good[:at] + b"9" + good[at + 1 :]), (3, b"junk")], "doc_id long, content binary"))
+    assert [(r.doc_id, r.code) for r in f.lints.collect()] == [(2, "LengthMismatch")]
+    assert {r.doc_id: r.lints for r in f.docs.collect()} == {1: [], 2: [], 3: []} and f.lines.count() == 2
+
+
 def test_table_rendering(spark):
     files = spark.createDataFrame([(1, writer.table_pdf([["name", "b|c"], ["dd", "ee"]], "cap"))], "doc_id long, content binary")
     f = PdfFrames(files)
@@ -146,6 +170,9 @@ def test_data_source(spark, tmp_path):
     df = spark.read.format("pdf").option("filesPerPartition", 1).load(str(tmp_path))
     assert df.where("text is not null").count() == 120 and [r.error_code for r in df.where("error_code is not null").collect()] == ["InvalidHeader"]
     assert [r.text for r in df.where("page_no = 3 and line_no <= 2").orderBy("line_no").collect()] == ["l100", "l101"]
+    by_uri = spark.read.format("pdf").load(f"file://{tmp_path}")
+    assert by_uri.count() == 121 and by_uri.first().doc_id.startswith("file://")
+    assert spark.read.format("pdf").load(str(tmp_path / "a.pdf")).count() == 120
 
 
 def test_command_line_arguments(capsys):
