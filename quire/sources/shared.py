@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,20 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A fresh path below ``spark.checkpoint.dir``, deleted when the application ends.
+
+    A temporary folder where that is unset and all executors are on this machine;
+    on a cluster that is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/quire/{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+        base = context.getCheckpointDir()
+    folder = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
