@@ -200,11 +200,16 @@ def media_round_trip(text: bytes) -> tuple:
 
 
 def op6_media_columns(spark, sf_dir):
-    """Every text of documents through the image codec; null text is empty."""
+    """Every text of documents through the image codec.
+
+    Null text is empty.  Repeated rows and null ids are returned as they are, ids
+    in their own type; equal texts give equal values.  A very long text is one
+    image, decoded whole by one task.  Other columns are ignored, whatever their
+    names; an empty table gives an empty one."""
     from quire.llm.store import read_table
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
         from quire.llm.textops import chunks
@@ -212,8 +217,9 @@ def op6_media_columns(spark, sf_dir):
         for batch, texts in chunks(batches, "text"):
             raw = texts.cast(pa.large_binary())
             rows = [media_round_trip(x.as_buffer().to_pybytes()) for x in raw]
-            cols = [batch.column("doc_id").cast(pa.int64()), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds[1:], strict=True)]]
+            cols = [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -217,6 +217,37 @@ def test_resize_against_exact_fractions(shape, monkeypatch):
                 assert Fraction(int(got[y, x, z])) == total * 72
 
 
+def plain_feature(payload):
+    """The feature from its definition, in exact fractions."""
+    from fractions import Fraction
+
+    h = len(payload) // 192
+    img = [[[payload[(y * 64 + x) * 3 + c] for c in range(3)] for x in range(64)] for y in range(h)]
+
+    def shares(n, parts):
+        return [[max(Fraction(0), min(Fraction((k + 1) * n, parts), i + 1) - max(Fraction(k * n, parts), i)) for i in range(n)] for k in range(parts)]
+
+    def mean(rows, cols, c):
+        return sum(r * q * img[y][x][c] for y, r in enumerate(rows) if r for x, q in enumerate(cols) if q) / (sum(rows) * sum(cols))
+
+    rows, cols = shares(h, 8), shares(64, 9)
+    grey = [[sum(mean(r, q, c) for c in range(3)) for q in cols] for r in rows]
+    bits = "".join(str(int(b > a)) for line in grey for a, b in zip(line, line[1:], strict=False))
+    rows, cols = shares(h, 16), shares(64, 16)
+    tile = np.array([[[math.floor(mean(r, q, c) + Fraction(1, 2)) for c in range(3)] for q in cols] for r in rows], np.uint8)
+    out = io.BytesIO()
+    np.save(out, tile)
+    return f"{int(bits, 2):016x}-{hashlib.sha256(out.getvalue()).hexdigest()[:16]}"
+
+
+def test_media_of_an_empty_table_and_text_ids(spark, tmp_path):
+    schema = "doc_id string, text string, feature int, n_bytes string"
+    for name, rows in (("none", []), ("some", [("a", "x", 1, "y"), (None, None, None, None), ("a", "x", 1, "y")])):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = media.op6_media_columns(spark, str(tmp_path / name)).collect()
+        assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in rows)
+
+
 def test_media_query(spark, tmp_path):
     frame(spark, [*ODD, "y" * 192, "z" * 5_000_000]).write.parquet(str(tmp_path / "documents.parquet"))
     rows = media.op6_media_columns(spark, str(tmp_path)).collect()
@@ -228,6 +259,7 @@ def test_media_query(spark, tmp_path):
         r = by[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-16:])
+        assert r.feature == plain_feature(payload)
         stored = b"P6\n64 %d\n255\n" % (len(payload) // 192) + payload
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert by[6][2:] == by[7][2:] and by[0].feature == by[1].feature
