@@ -3,8 +3,8 @@
 Encoding is relational: texts are cut into segments across which no piece can
 reach, distinct segments are exploded into substrings of bounded length and
 equi-joined to the piece table, and the resulting lattice is grouped by segment
-and folded by a higher-order aggregate.  A unigram model is folded by Viterbi.
-A BPE model is not scored by sums: there the fold applies, best score first, the
+and folded by a higher-order aggregate.  Viterbi finds the path of the best sum of
+scores, which is the encoding of a unigram model.  A BPE model is not scored by sums: there the fold applies, best score first, the
 edges that join two neighbouring symbols, which gives the ids of the public
 library; Viterbi over its scores does not.
 
@@ -217,23 +217,31 @@ def substrings(segs: DataFrame, least: int, longest: int) -> DataFrame:
     return segs.select("seg", "n", F.explode(spans).alias("x")).select("seg", "n", "x.s", "x.e", sub.alias("sub"))
 
 
-def lattice(segs: DataFrame, pieces: DataFrame, model: PieceModel) -> DataFrame:
-    """``seg, n, edges``: the pieces found in each segment, at most 48 characters long.
+def lattice(segs: DataFrame, pieces: DataFrame, model: PieceModel, paths: bool) -> DataFrame:
+    """``seg, n, edges, merges``: the pieces found in each segment, at most 48 characters long.
 
     Substrings of bounded length are exploded, joined to the piece table (which
-    is broadcast: its size is fixed by the model) and grouped by segment.  Edges
-    of a unigram model are (s, e, cost), those of a BPE model have two characters
-    or more and are packed as rank << 16 | s << 8 | e, so that ascending order
-    is that of the merges: best score first, then leftmost."""
-    bpe = model.kind == BPE
-    subs = substrings(segs.where("char_length(seg) > 1") if bpe else segs, 2 if bpe else 1, model.longest)
+    is broadcast: its size is fixed by the model) and grouped by segment.  edges
+    are (e, s, cost) in order, with an edge for every character: one without a
+    piece costs what an unknown one does; null unless ``paths``.  merges are, for a
+    BPE model, the pieces of two characters or more packed as rank << 16 | s << 8 |
+    e, so that ascending order is that of the merges: best score first, then
+    leftmost."""
+    least = 1 if paths else 2
+    subs = substrings(segs.where(F.char_length("seg") >= least), least, model.longest)
+    single = F.col("e") - F.col("s") == 1
     # the first substring of a segment stays without a piece too, so that no segment is lost
-    hit = subs.join(F.broadcast(pieces), subs["sub"] == pieces["piece"], "left").where("rank is not null or s = 0")
-    if not bpe:
-        return hit.groupBy("seg", "n").agg(F.collect_list(F.when(F.col("cost").isNotNull(), F.struct("s", "e", "cost"))).alias("edges"))
-    packed = F.shiftleft("rank", 16) + F.col("s") * 256 + F.col("e")
-    grouped = hit.groupBy("seg", "n").agg(F.sort_array(F.collect_list(packed)).alias("edges"))
-    return grouped.unionByName(segs.where("char_length(seg) = 1").select("seg", "n", F.array().cast("array<bigint>").alias("edges")))
+    hit = subs.join(F.broadcast(pieces), subs["sub"] == pieces["piece"], "left").where(F.col("rank").isNotNull() | (F.col("s") == 0) | single)
+    edge = F.when(single, F.struct("e", "s", F.coalesce("cost", F.lit(unk_cost(model))).alias("cost"))).when(F.col("cost").isNotNull(), F.struct("e", "s", "cost"))
+    merge = F.when(~single, F.shiftleft("rank", 16) + F.col("s") * 256 + F.col("e"))
+    none = F.lit(None).cast(f"array<{EDGE}>")
+    grouped = hit.groupBy("seg", "n").agg(
+        F.sort_array(F.collect_list(edge)).alias("edges") if paths else F.first(none).alias("edges"),
+        F.sort_array(F.collect_list(merge)).alias("merges"),
+    )
+    if paths:
+        return grouped
+    return grouped.unionByName(segs.where("char_length(seg) = 1").select("seg", "n", none.alias("edges"), F.array().cast("array<bigint>").alias("merges")))
 
 
 #: Symbol boundaries are a bit mask.  An edge applies if both its ends and exactly one
@@ -243,55 +251,40 @@ _INNER = f"(shiftleft(1L, {_E}) - shiftleft(1L, {_S} + 1))"
 _APPLIES = f"(shiftright(st, {_E}) & 1) = 1 and (shiftright(st, {_S}) & 1) = 1 and bit_count(st & {_INNER}) = 1"
 _ALL = "shiftleft(1L, char_length(seg) + 1) - 1L"
 #: For monotone models every edge is looked at once.
-FOLD_BPE_ONCE = f"aggregate(edges, {_ALL}, (st, x) -> if({_APPLIES}, st & ~{_INNER}, st))"
+FOLD_BPE_ONCE = f"aggregate(merges, {_ALL}, (st, x) -> if({_APPLIES}, st & ~{_INNER}, st))"
 #: For the others a pass applies the first edge that it can; the sign bit says that it has.
 FOLD_BPE = f"""
 aggregate(sequence(1, greatest(1, char_length(seg) - 1)), {_ALL}, (mask, i) ->
-  aggregate(edges, mask, (st, x) ->
+  aggregate(merges, mask, (st, x) ->
     if(st < 0, st, if({_APPLIES}, (st & ~{_INNER}) | (-9223372036854775807L - 1), st))) & 9223372036854775807L)
 """
 
 
-def fold_viterbi(unknown_cost: float):
-    """Columns for two steps: the table of best paths, then the boundaries as a mask.
-
-    The table has for every position the cost of the best path to it and the
-    position before; ties go to the longer last piece."""
-    n = F.char_length("seg")
-
-    def step(state, e):
-        def best(acc, x):
-            cost = F.get(state, x["s"])["cost"] + x["cost"]
-            better = (x["e"] == e) & (acc["cost"].isNull() | (cost < acc["cost"]) | ((cost == acc["cost"]) & (x["s"] < acc["at"])))
-            return F.when(better, F.struct(cost.alias("cost"), x["s"].alias("at"))).otherwise(acc)
-
-        # a character without a piece of its own is an unknown one
-        known = F.exists("edges", lambda x: (x["e"] == e) & (x["s"] == e - 1))
-        none = F.struct(F.lit(None).cast("double").alias("cost"), F.lit(-1).alias("at"))
-        single = F.struct((F.get(state, e - 1)["cost"] + unknown_cost).alias("cost"), (e - 1).alias("at"))
-        return F.concat(state, F.array(F.aggregate("edges", F.when(known, none).otherwise(single), best)))
-
-    first = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(-1).alias("at")))
-    table = F.aggregate(F.sequence(F.lit(1), n), first, step)
-    one = F.lit(1).cast("long")
-
-    def bit(at):
-        return F.call_function("shiftleft", one, at)
-
-    def back(state, _):
-        at = F.get(F.col("table"), state["at"])["at"]
-        return F.when(state["at"] == 0, state).otherwise(F.struct(at.alias("at"), state["mask"].bitwiseOR(bit(at)).alias("mask")))
-
-    start = F.struct(n.alias("at"), bit(n).alias("mask"))
-    return table, F.aggregate(F.sequence(F.lit(1), n), start, back, lambda st: st["mask"])
+EDGE = "struct<e:int,s:int,cost:double>"
+#: Edges come by their end: the best path to a position is known when the next end begins.  A path is
+#: its cost and its boundaries as a mask; ties go to the longer last piece.
+FOLD_VITERBI = f"""
+aggregate(edges,
+  struct(array(struct(0D AS cost, 0L AS mask)) AS done, cast(null AS struct<e:int,cost:double,mask:bigint>) AS now),
+  (st, x) -> if(st.now.e = x.e,
+    if(st.done[x.s].cost + x.cost < st.now.cost,
+       struct(st.done AS done, struct(x.e AS e, st.done[x.s].cost + x.cost AS cost, st.done[x.s].mask | shiftleft(1L, x.e) AS mask) AS now), st),
+    if(st.now IS NOT NULL AND x.s = st.now.e,
+       struct(concat(st.done, array(struct(st.now.cost AS cost, st.now.mask AS mask))) AS done,
+              struct(x.e AS e, st.now.cost + x.cost AS cost, st.now.mask | shiftleft(1L, x.e) AS mask) AS now),
+       struct(if(st.now IS NULL, st.done, concat(st.done, array(struct(st.now.cost AS cost, st.now.mask AS mask)))) AS done,
+              struct(x.e AS e, st.done[x.s].cost + x.cost AS cost, st.done[x.s].mask | shiftleft(1L, x.e) AS mask) AS now))),
+  st -> st.now)
+"""
 
 
-def fold(edges: DataFrame, model: PieceModel) -> DataFrame:
-    """``seg, n, mask``: the boundaries of each segment's symbols, bit i before character i."""
+def fold(edges: DataFrame, model: PieceModel, paths: bool) -> DataFrame:
+    """``seg, n, mask, best``: the boundaries of each segment's symbols, bit i before character i,
+    and the best path by the sum of scores (cost, mask), null unless ``paths``."""
+    best = F.expr(FOLD_VITERBI) if paths else F.lit(None).cast("struct<e:int,cost:double,mask:bigint>")
     if model.kind == BPE:
-        return edges.select("seg", "n", F.expr(FOLD_BPE_ONCE if model.monotone else FOLD_BPE).alias("mask"))
-    table, mask = fold_viterbi(unk_cost(model))
-    return edges.select("seg", "n", table.alias("table")).select("seg", "n", mask.alias("mask"))
+        return edges.select("seg", "n", F.expr(FOLD_BPE_ONCE if model.monotone else FOLD_BPE).alias("mask"), best.alias("best"))
+    return edges.select("seg", "n", best.alias("best")).select("seg", "n", F.col("best.mask").bitwiseOR(F.lit(1)).alias("mask"), "best")
 
 
 def symbol_ids(seg: str, bounds: list[int], model: PieceModel) -> list[int]:
@@ -307,6 +300,22 @@ def unk_cost(model: PieceModel) -> float:
     return 10.0 - min((model.scores[i] for i in model.usable.values()), default=0.0)
 
 
+def best_path(seg: str, model: PieceModel) -> tuple[list[int], float]:
+    """Boundaries and cost of the best path of a long segment, in n * longest steps."""
+    usable, scores, n = model.usable, model.scores, len(seg)
+    cost, came, unk = [0.0] + [float("inf")] * n, [0] * (n + 1), unk_cost(model)
+    for e in range(1, n + 1):
+        for s in range(max(0, e - model.longest), e):
+            k = usable.get(seg[s:e])
+            c = cost[s] + (-scores[k] if k is not None else unk if e == s + 1 else float("inf"))
+            if c < cost[e]:
+                cost[e], came[e] = c, s
+    bounds = [n]
+    while bounds[-1]:
+        bounds.append(came[bounds[-1]])
+    return bounds[::-1], cost[n]
+
+
 def encode_long(seg: str, model: PieceModel) -> list[int]:
     """The ids of one long segment by the rules of the fold, in n log n steps (BPE) or n * longest."""
     usable, scores, n = model.usable, model.scores, len(seg)
@@ -336,22 +345,14 @@ def encode_long(seg: str, model: PieceModel) -> list[int]:
             offer(i)
         bounds = [i for i in range(n) if alive[i]] + [n]
     else:
-        cost, came, unk = [0.0] + [float("inf")] * n, [0] * (n + 1), unk_cost(model)
-        for e in range(1, n + 1):
-            for s in range(max(0, e - model.longest), e):
-                k = usable.get(seg[s:e])
-                c = cost[s] + (-scores[k] if k is not None else unk if e == s + 1 else float("inf"))
-                if c < cost[e]:
-                    cost[e], came[e] = c, s
-        bounds = [n]
-        while bounds[-1]:
-            bounds.append(came[bounds[-1]])
-        bounds.reverse()
+        bounds = best_path(seg, model)[0]
     return symbol_ids(seg, bounds, model)
 
 
-def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()) -> DataFrame:
-    """``seg, n, hi, lo, ids`` of the distinct segments of ``docs(text)``, n their number, hi and lo their hash."""
+def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings(), paths: bool = False) -> DataFrame:
+    """``seg, n, hi, lo, ids, cost, steps`` of the distinct segments of ``docs(text)``: n their
+    number, hi and lo their hash; with ``paths`` cost and pieces of their best path."""
+    paths = paths or model.kind == UNIGRAM
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -360,10 +361,10 @@ def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()
             _, codes, segs = segments(texts, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(segs, pa.string()), pa.array(np.bincount(codes, minlength=len(segs)).astype(np.int64))], names=["seg", "n"])
 
-    def finished(batch: pa.RecordBatch, ids: list) -> pa.RecordBatch:
+    def finished(batch: pa.RecordBatch, ids: list, cost, steps) -> pa.RecordBatch:
         hi, lo = _hashes(batch.column("seg").to_pylist())
         cols = [batch.column("seg"), batch.column("n"), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(ids, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(cols, names=["seg", "n", "hi", "lo", "ids"])
+        return pa.RecordBatch.from_arrays([*cols, pa.array(cost, pa.float64()), pa.array(steps, pa.int32())], names=["seg", "n", "hi", "lo", "ids", "cost", "steps"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The ids of the symbols between the folded boundaries."""
@@ -371,19 +372,22 @@ def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()
             ids = []
             for seg, mask in zip(batch.column("seg").to_pylist(), batch.column("mask").to_pylist(), strict=True):
                 ids.append(symbol_ids(seg, [i for i in range(len(seg) + 1) if mask >> i & 1], shared.value))
-            yield finished(batch, ids)
+            yield finished(batch, ids, batch.column("cost"), batch.column("steps"))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield finished(batch, [encode_long(x, shared.value) for x in batch.column("seg").to_pylist()])
+            segs = batch.column("seg").to_pylist()
+            found = [best_path(x, shared.value) if paths else ([], None) for x in segs]
+            yield finished(batch, [encode_long(x, shared.value) for x in segs], [c for _, c in found], [len(b) - 1 if b else None for b, _ in found])
 
     found = docs.select("text").mapInArrow(count, "seg string, n long").groupBy("seg").agg(F.sum("n").alias("n"))
     found = materialize(found)
     short = F.char_length("seg") <= s.lattice_chars
     # dealt by segment before the explosion, so that grouping its edges needs no exchange
     dealt = found.where(short).repartition(max(1, found.count() // TASK_SEGMENTS), "seg")
-    folded = fold(lattice(dealt, piece_table(spark, model), model), model).select("seg", "n", "mask")
-    ids = "seg string, n long, hi long, lo long, ids array<int>"
+    folded = fold(lattice(dealt, piece_table(spark, model), model, paths), model, paths)
+    folded = folded.select("seg", "n", "mask", F.col("best.cost").alias("cost"), F.bit_count("best.mask").cast("int").alias("steps"))
+    ids = "seg string, n long, hi long, lo long, ids array<int>, cost double, steps int"
     return materialize(folded.mapInArrow(resolve, ids).unionByName(found.where(~short).mapInArrow(rest, ids)))
 
 
@@ -397,7 +401,7 @@ def _hashes(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(table: pa.Table) -> tuple:
-    """Hashes (first halves ascending, then the second), offsets and ids: what workers look segments up in.
+    """Hashes (first halves ascending, then the second), offsets, ids, costs and steps: what workers look segments up in.
 
     Of segments that share a first half only one is held; the others are as good as not shared."""
     ids = table["ids"].combine_chunks()
@@ -409,7 +413,8 @@ def _packed(table: pa.Table) -> tuple:
     flat = ids.values.to_numpy()[np.repeat(off[:-1][order] - ends[:-1], n) + np.arange(ends[-1])]
     # every worker holds these: as narrow as they can be
     ends = ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.int64)
-    return hi, lo[order], ends, flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32)
+    path = [table[c].to_numpy()[order].astype(k) if c in table.schema.names else None for c, k in (("cost", np.float64), ("steps", np.int32))]
+    return hi, lo[order], ends, flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32), *path
 
 
 def most_frequent(table: DataFrame, s: Settings) -> DataFrame:
@@ -442,23 +447,31 @@ def gather(starts: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return flat[np.repeat(starts - ends[:-1], n) + np.arange(ends[-1])]
 
 
-def _columns(doc_id, bounds: np.ndarray, ids: np.ndarray, model: PieceModel | None) -> pa.RecordBatch:
-    """doc_id and ids; with a model also their number and a digest of the text decoded from them."""
+def _columns(doc_id, bounds: np.ndarray, ids: np.ndarray, model: PieceModel | None, path: tuple | None) -> pa.RecordBatch:
+    """doc_id and ids; with a model also their number and a digest of the text decoded from them; with a path its pieces and cost."""
     values = pa.array(ids, pa.int32())
-    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
-    if model is None:
-        return pa.RecordBatch.from_arrays([doc_id, lists], names=["doc_id", "ids"])
-    digest = [hashlib.sha256(x).hexdigest() for x in decode_ids(bounds, values, model)]
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(np.diff(bounds)), lists, pa.array(digest, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+    out = {"doc_id": doc_id, "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)}
+    if model is not None:
+        digest = [hashlib.sha256(x).hexdigest() for x in decode_ids(bounds, values, model)]
+        out = {"doc_id": doc_id, "n_tokens": pa.array(np.diff(bounds)), "ids": out["ids"], "decoded_sha256": pa.array(digest, pa.string())}
+    if path is not None:
+        out |= {"path_pieces": pa.array(path[1].astype(np.int64)), "path_cost": pa.array(path[0].astype(np.float64))}
+    return pa.RecordBatch.from_pydict(out)
 
 
-def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check: bool = False, paths: bool = False) -> DataFrame:
     """``doc_id, ids`` of every row of ``docs(doc_id, text)``; with ``check`` also
-    ``n_tokens`` and ``decoded_sha256``, the digest of the text decoded from the ids.
+    ``n_tokens`` and ``decoded_sha256``, the digest of the text decoded from the ids;
+    with ``paths`` also ``path_pieces`` and ``path_cost``: how many pieces the path of
+    the best sum of scores has, found by Viterbi, and the sum, negated.
+
+    The ids are the library's: of a unigram model those of the best path, of a BPE
+    model those of its merges.
 
     * Null and empty texts: no ids.  Every repeated row is returned; a null
       doc_id as null.  Other columns are ignored; an empty table: empty.
-    * Characters without a piece become byte pieces, or <unk> without them.
+    * Characters without a piece become byte pieces, or <unk> without them; a
+      path pays the price of an unknown character for them.
     * The most frequent segments, as many as ``shared_rows`` and ``shared_ids``
       allow, are sent to the workers; occurrences of rarer ones are joined by
       segment and put into their places.
@@ -466,30 +479,36 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
       segments are folded where all others are.
     """
     spark = docs.sparkSession
-    table = encode_segments(docs, model, s)
-    packed = _packed(most_frequent(table, s).select("hi", "lo", "ids").toArrow())
+    table = encode_segments(docs, model, s, paths)
+    packed = _packed(most_frequent(table, s).select("hi", "lo", "ids", *["cost", "steps"] * paths).toArrow())
     # a segment that shares half its hash with another is joined
     whole = len(packed[0]) == table.count()
     packed = spark.sparkContext.broadcast(packed)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string" if check else f"doc_id {kind}, ids array<int>"
+    more = ", path_pieces long, path_cost double" if paths else ""
+    schema = (f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string" if check else f"doc_id {kind}, ids array<int>") + more
 
     def look_up(texts):
-        first, second, ends, flat = packed.value
+        first, second, ends, flat, cost, steps = packed.value
         offsets, codes, segs = segments(texts, shared.value)
         hi, lo = _hashes(segs)
         at = np.minimum(np.searchsorted(first, hi), max(0, len(first) - 1))
         known = (first[at] == hi) & (second[at] == lo) if len(first) else np.zeros(len(hi), bool)
-        return offsets, codes, segs, np.where(known, at, -1), ends, flat
+        row = np.where(known, at, -1)[codes]
+        path = None
+        if paths:
+            owner, here = np.repeat(np.arange(len(texts)), np.diff(offsets)), row >= 0
+            path = tuple(np.bincount(owner[here], x[row[here]], len(texts)) for x in (cost, steps))
+        return offsets, codes, segs, row, ends, flat, path
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            offsets, codes, _, at, ends, flat = look_up(texts)
-            start, n = span(ends, at[codes])
+            offsets, _, _, row, ends, flat, path = look_up(texts)
+            start, n = span(ends, row)
             ids = gather(start, n, flat)
             bounds = np.concatenate([[0], np.cumsum(n)])[offsets]
-            yield _columns(batch.column("doc_id"), bounds, ids, shared.value if check else None)
+            yield _columns(batch.column("doc_id"), bounds, ids, shared.value if check else None, path)
 
     lean = docs.select("doc_id", "text")
     if whole:
@@ -498,8 +517,7 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
     def holed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments that are not shared leave -1 in ids and their text in holes."""
         for batch, texts in chunks(batches, "text"):
-            offsets, codes, segs, at, ends, flat = look_up(texts)
-            row = at[codes]
+            offsets, codes, segs, row, ends, flat, path = look_up(texts)
             keep = row >= 0
             start, n = span(ends, np.where(keep, row, 0))
             n = np.where(keep, n, 1)
@@ -509,12 +527,13 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
             missing = np.concatenate([[0], np.cumsum(~keep)])[offsets]
             holes = pa.array(segs, pa.string()).take(pa.array(codes[~keep]))
             cols = [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(out[offsets], pa.int32()), pa.array(ids)), pa.ListArray.from_arrays(pa.array(missing, pa.int32()), holes)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "holes"])
+            cols += [pa.array(x.astype(np.float64)) for x in path] if paths else []
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "holes", *["cost", "steps"] * paths])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids, parts in zip(batch.column("ids"), batch.column("parts").to_pylist(), strict=True):
+            out, found = [], [x or [] for x in batch.column("parts").to_pylist()]
+            for ids, parts in zip(batch.column("ids"), found, strict=True):
                 a = ids.values.to_numpy()
                 if parts:
                     at = np.flatnonzero(a < 0)
@@ -522,13 +541,17 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
                     a = np.concatenate([pieces[0], *[x for p, piece in zip(parts, pieces[1:], strict=True) for x in (np.array(p["ids"], np.int32), piece[1:])]])
                 out.append(a)
             bounds = np.concatenate([[0], np.cumsum([len(a) for a in out])]).astype(np.int64)
-            yield _columns(batch.column("doc_id"), bounds, np.concatenate(out), shared.value if check else None)
+            path = tuple(batch.column(c).to_numpy() + np.array([sum(p[c] for p in parts) for parts in found]) for c in ("cost", "steps")) if paths else None
+            yield _columns(batch.column("doc_id"), bounds, np.concatenate(out), shared.value if check else None, path)
 
     # written, so that row numbers stay what they are
-    first = materialize(lean.mapInArrow(holed, f"doc_id {kind}, ids array<int>, holes array<string>").withColumn("row", F.monotonically_increasing_id()))
+    sums = ", cost double, steps double" if paths else ""
+    first = materialize(lean.mapInArrow(holed, f"doc_id {kind}, ids array<int>, holes array<string>{sums}").withColumn("row", F.monotonically_increasing_id()))
     holes = first.select("row", F.posexplode("holes").alias("k", "seg"))
-    parts = holes.join(table.select("seg", F.col("ids").alias("got")), "seg").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", F.col("got").alias("ids")))).alias("parts"))
-    return first.join(parts, "row", "left").select("doc_id", "ids", "parts").mapInArrow(fill, schema)
+    got = F.struct("k", F.col("got").alias("ids"), F.col("got_cost").alias("cost"), F.col("got_steps").alias("steps"))
+    there = table.select("seg", F.col("ids").alias("got"), F.col("cost").alias("got_cost"), F.col("steps").alias("got_steps"))
+    parts = holes.join(there, "seg").groupBy("row").agg(F.array_sort(F.collect_list(got)).alias("parts"))
+    return first.join(parts, "row", "left").select("doc_id", "ids", "parts", *["cost", "steps"] * paths).mapInArrow(fill, schema)
 
 
 def decode_ids(bounds: np.ndarray, ids: pa.Array, model: PieceModel) -> list[bytes]:
@@ -577,13 +600,15 @@ def public_model(path: str | None = None) -> PieceModel:
     return load(path)
 
 
-def encode_and_check(docs: DataFrame, model: PieceModel, s: Settings = Settings()) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256`` of every row, in one pass over the texts."""
-    return encode(docs, model, s, check=True)
+def encode_and_check(docs: DataFrame, model: PieceModel, s: Settings = Settings(), paths: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every row, in one pass over the texts; with
+    ``paths`` also the best path's ``path_pieces, path_cost``."""
+    return encode(docs, model, s, check=True, paths=paths)
 
 
 def op1_sentencepiece(spark, sf_dir, path: str | None = None):
-    """Encode every text, decode the ids again and return both with a digest."""
+    """Encode every text, decode the ids again and return both with a digest, and the best
+    path that Viterbi finds in the same lattice."""
     from quire.llm.store import read_table
 
-    return encode_and_check(read_table(spark, sf_dir, "documents"), public_model(path))
+    return encode_and_check(read_table(spark, sf_dir, "documents"), public_model(path), paths=True)

@@ -64,8 +64,13 @@ def test_ids_equal_the_library(spark, s):
     back = {r.doc_id: r.text for r in pieces.decode(encoded, model).collect()}
     for i, t in enumerate(texts):
         assert back[i] == (t or "").replace("▁", " ")
-    digests = {r.doc_id: r.decoded_sha256 for r in pieces.encode_and_check(df, model, s).collect()}
-    assert digests[5] == hashlib.sha256(ODD[5].encode()).hexdigest()
+    found = {r.doc_id: r for r in pieces.encode_and_check(df, model, s, paths=True).collect()}
+    assert found[5].decoded_sha256 == hashlib.sha256(ODD[5].encode()).hexdigest()
+    # the best path over the whole text: no piece reaches across the end of a segment
+    for i, t in enumerate(texts):
+        bounds, cost = pieces.best_path("▁" + t.replace(" ", "▁"), model) if t else ([0], 0.0)
+        assert found[i].path_cost == pytest.approx(cost) and list(found[i].ids) == library.encode(t or "")
+        assert found[i].path_pieces <= len(bounds) - 1
 
 
 def test_encode_empty_table(spark):
