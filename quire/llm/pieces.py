@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.store import materialize
-from quire.llm.textops import chunks
+from quire.llm.textops import chunks, relax
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 COUNT_CHUNK = 8 << 20
+PACK_ROWS = 1 << 16  # segments whose ids are brought into order at once
 TASK_SEGMENTS = 40_000  # distinct segments that one task folds
 
 
@@ -405,16 +406,19 @@ def _packed(table: pa.Table) -> tuple:
 
     Of segments that share a first half only one is held; the others are as good as not shared."""
     ids = table["ids"].combine_chunks()
-    lo = table["lo"].to_numpy().view(np.uint64)
     hi, order = np.unique(table["hi"].to_numpy().view(np.uint64), return_index=True)
-    off = ids.offsets.to_numpy().astype(np.int64)
-    n = np.diff(off)[order]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    flat = ids.values.to_numpy()[np.repeat(off[:-1][order] - ends[:-1], n) + np.arange(ends[-1])]
+    lo = table["lo"].to_numpy().view(np.uint64)[order]
+    off, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+    ends = np.zeros(len(order) + 1, np.int64)
+    np.cumsum(np.diff(off)[order], out=ends[1:])
     # every worker holds these: as narrow as they can be
-    ends = ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.int64)
+    flat = np.empty(ends[-1], np.uint16 if values.max(initial=0) < 1 << 16 else np.int32)
+    for at in range(0, len(order), PACK_ROWS):
+        rows = order[at : at + PACK_ROWS]
+        start = off[rows].astype(np.int64)
+        flat[ends[at] : ends[at + len(rows)]] = gather(start, off[rows + 1] - start, values)
     path = [table[c].to_numpy()[order].astype(k) if c in table.schema.names else None for c, k in (("cost", np.float64), ("steps", np.int32))]
-    return hi, lo[order], ends, flat.astype(np.uint16 if flat.max(initial=0) < 1 << 16 else np.int32), *path
+    return hi, lo, ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.int64), flat, *path
 
 
 def most_frequent(table: DataFrame, s: Settings) -> DataFrame:
@@ -484,6 +488,7 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
     # a segment that shares half its hash with another is joined
     whole = len(packed[0]) == table.count()
     packed = spark.sparkContext.broadcast(packed)
+    relax()
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = ", path_pieces long, path_cost double" if paths else ""
