@@ -250,11 +250,12 @@ def mixed_rows(docs: DataFrame, max_rate=MAX_RATE, **params) -> DataFrame:
     The plan has a row per source and is joined to the documents as they lie:
     the texts are not shuffled."""
     sized = _sized(docs)
-    names = docs.columns
-    out = _planned(docs, *mixing_plan(sized, max_rate, **params))
-    out = out.withColumn("__copies", _copies("__mix", word_count(F.col("text")), place_of(F.col("doc_id")), max_rate))
+    # counted below the join: above it the planner would count the words again for every mention
+    known = docs.withColumn("__mix_size", word_count(F.col("text"))).withColumn("__mix_u", place_of(F.col("doc_id")))
+    out = _planned(known, *mixing_plan(sized, max_rate, **params))
+    out = out.withColumn("__copies", _copies("__mix", F.col("__mix_size"), F.col("__mix_u"), max_rate))
     out = out.where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return out.select(*names)
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir):
