@@ -207,10 +207,12 @@ def keep_good(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFr
     shared, bits, least = docs.sparkSession.sparkContext.broadcast(model), s.bits, s.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, text):
             yield batch.filter(pa.array(probabilities(texts, shared.value, bits) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    # columns by number: a map cannot take names with a dot
+    plain, text = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('text')}"
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op7_quality_classifier(spark, sf_dir):
