@@ -34,6 +34,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 COUNT_CHUNK = 8 << 20
+ENCODE_CHUNK = 2 << 20
 PACK_ROWS = 1 << 16  # segments whose ids are brought into order at once
 TASK_SEGMENTS = 40_000  # distinct segments that one task folds
 
@@ -417,7 +418,11 @@ def _packed(table: pa.Table) -> tuple:
         rows = order[at : at + PACK_ROWS]
         start = off[rows].astype(np.int64)
         flat[ends[at] : ends[at + len(rows)]] = gather(start, off[rows + 1] - start, values)
-    path = [table[c].to_numpy()[order].astype(k) if c in table.schema.names else None for c, k in (("cost", np.float64), ("steps", np.int32))]
+    path = [None, None]
+    if "cost" in table.schema.names:
+        cost, steps = table["cost"].to_numpy()[order], table["steps"].to_numpy()[order]
+        short = cost.astype(np.float32)
+        path = [short if (short == cost).all() else cost, steps.astype(np.uint16 if steps.max(initial=0) < 1 << 16 else np.int32)]
     return hi, lo, ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.int64), flat, *path
 
 
@@ -503,12 +508,17 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
         row = np.where(known, at, -1)[codes]
         path = None
         if paths:
-            owner, here = np.repeat(np.arange(len(texts)), np.diff(offsets)), row >= 0
-            path = tuple(np.bincount(owner[here], x[row[here]], len(texts)) for x in (cost, steps))
+            # sums of each text as differences of a running sum; what is not shared counts nothing here
+            path = []
+            for x in (cost, steps):
+                upto = np.zeros(len(row) + 1)
+                if len(x):
+                    np.cumsum(np.where(row >= 0, x[row], 0), out=upto[1:])
+                path.append(np.diff(upto[offsets]))
         return offsets, codes, segs, row, ends, flat, path
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", ENCODE_CHUNK):
             offsets, _, _, row, ends, flat, path = look_up(texts)
             start, n = span(ends, row)
             ids = gather(start, n, flat)
