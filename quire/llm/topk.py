@@ -9,8 +9,8 @@ the bottom where it is negative, and knows of each candidate
 * a lower bound: what was read of it, and for the rest the far ends of the lists;
 * an upper bound: what was read of it, and for the rest where reading stands.
 
-Candidates whose upper bound is under the k-th best lower bound, or under the k-th
-best score of the portions before, are outsiders.  Each query stops on its own,
+Candidates whose upper bound is under the k-th best score of the portions before,
+or, in the first portion, under the k-th best lower bound, are outsiders.  Each query stops on its own,
 when so few others are left that resolving their scores takes less than the next
 step; a portion whose lists begin too low is not read at all.
 """
@@ -58,6 +58,7 @@ def survivors(q: np.ndarray, lists: Lists, own: np.ndarray, k: int, bar, read: d
     near = np.concatenate([w * lists.values[-1 if s > 0 else 0, d] for d, w, s in sides])
     if bar is not None and near.sum() < bar:
         return alive[:0]
+    given = bar is not None
     seen, unread, at, step = np.zeros(n, q.dtype), np.ones((n, len(dims)), q.dtype), 0, max(1, n // FIRST)
     while at < n:
         to, first, frontier = min(n, at + step), 0, []
@@ -73,8 +74,10 @@ def survivors(q: np.ndarray, lists: Lists, own: np.ndarray, k: int, bar, read: d
             first += len(d)
         read["list"] += (to - at) * len(dims)
         at, step = to, 2 * step
-        least = np.partition((seen + unread @ far)[alive], len(alive) - k)[len(alive) - k] if len(alive) >= k else None
-        bar = least if bar is None else bar if least is None else max(bar, least)
+        if not given:
+            # no portion before gave k scores: the k-th best lower bound takes their place
+            least = np.partition((seen + unread @ far)[alive], len(alive) - k)[len(alive) - k]
+            bar = least if bar is None else max(bar, least)
         # equal bounds may still win by id, so only smaller ones are outsiders
         alive = alive[(seen + unread @ np.concatenate(frontier))[alive] >= bar]
         if len(alive) <= step:
