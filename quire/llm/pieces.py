@@ -14,8 +14,13 @@ distinct segment and chunk.
 
 from __future__ import annotations
 
+import ast
+import functools
 import hashlib
 import heapq
+import mmap
+import os
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -208,11 +213,11 @@ def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
 
 
 def substrings(segs: DataFrame, least: int, longest: int) -> DataFrame:
-    """``seg, n, s, e, sub``: every substring of ``least`` to ``longest`` characters."""
+    """``seg, n, s, e, sub``: every substring of ``least`` to ``longest`` characters, by end and start: what is grouped is nearly sorted."""
     spans = F.flatten(
         F.transform(
-            F.sequence(F.lit(0), F.char_length("seg") - least),
-            lambda s: F.transform(F.sequence(s + least, F.least(s + longest, F.char_length("seg"))), lambda e: F.struct(s.alias("s"), e.alias("e"))),
+            F.sequence(F.lit(least), F.char_length("seg")),
+            lambda e: F.transform(F.sequence(F.greatest(e - longest, F.lit(0)), e - least), lambda s: F.struct(s.alias("s"), e.alias("e"))),
         )
     )
     sub = F.substring(F.col("seg"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s"))
@@ -426,6 +431,45 @@ def _packed(table: pa.Table) -> tuple:
     return hi, lo, ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.int64), flat, *path
 
 
+MAGIC = b"quire packed arrays 1 "
+
+
+def _blob(arrays: tuple) -> bytes:
+    """The arrays (or None) one after the other, placed so that they are aligned in a broadcast's file."""
+    before = pickle.dumps(MAGIC + bytes(1 << 17), pickle.HIGHEST_PROTOCOL).find(MAGIC)
+    arrays = [a if a is None else np.ascontiguousarray(a) for a in arrays]
+    at, plan = 1024 - before, []
+    for a in arrays:
+        plan.append(None if a is None else (a.dtype.str, len(a), at))
+        at += 0 if a is None else -(-a.nbytes // 64) * 64
+    head = MAGIC + repr(plan).encode()
+    parts = [head.ljust(1024 - before)]
+    for a in arrays:
+        parts += [] if a is None else [a.data, bytes(-a.nbytes % 64)]
+    return b"".join(parts)
+
+
+def _arrays(data, at: int = 0) -> tuple:
+    """The arrays of the blob that begins at ``at``; not copied where they are aligned."""
+    plan = ast.literal_eval(bytes(data[at + len(MAGIC) : at + 960]).decode())
+    return tuple(None if x is None else np.require(np.frombuffer(data, x[0], x[1], at + x[2]), requirements="A") for x in plan)
+
+
+@functools.lru_cache(1)
+def _mapped(path: str) -> tuple | None:
+    with open(path, "rb") as f:
+        data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    at = data.find(MAGIC, 0, 1024)
+    return _arrays(data, at) if at >= 0 else None
+
+
+def _held(broadcast) -> tuple:
+    """The arrays of a broadcast blob.  The workers of an executor map the file that it has of it
+    anyway, instead of holding a copy each; without such a file (an encrypted one) they hold copies."""
+    path = getattr(broadcast, "_path", None)
+    return path and os.path.isfile(path) and _mapped(path) or _arrays(broadcast.value)
+
+
 def most_frequent(table: DataFrame, s: Settings) -> DataFrame:
     """The segments that occur 2**k times or more, for the least k at which they are within the bounds.
 
@@ -492,6 +536,7 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
     packed = _packed(most_frequent(table, s).select("hi", "lo", "ids", *["cost", "steps"] * paths).toArrow())
     # a segment that shares half its hash with another is joined
     whole = len(packed[0]) == table.count()
+    packed = _blob(packed)
     packed = spark.sparkContext.broadcast(packed)
     relax()
     shared = spark.sparkContext.broadcast(model)
@@ -500,7 +545,7 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
     schema = (f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string" if check else f"doc_id {kind}, ids array<int>") + more
 
     def look_up(texts):
-        first, second, ends, flat, cost, steps = packed.value
+        first, second, ends, flat, cost, steps = _held(packed)
         offsets, codes, segs = segments(texts, shared.value)
         hi, lo = _hashes(segs)
         at = np.minimum(np.searchsorted(first, hi), max(0, len(first) - 1))

@@ -73,6 +73,21 @@ def test_ids_equal_the_library(spark, s):
         assert found[i].path_pieces <= len(bounds) - 1
 
 
+def test_workers_map_the_shared_segments(spark):
+    """A worker reads the table of segments from the broadcast's file; it holds no copy."""
+    arrays = (np.arange(50_000, dtype=np.uint64), np.arange(30_001, dtype=np.uint16), None, np.empty(0, np.float32))
+    for given in (arrays, tuple(a if a is None else a[:7] for a in arrays)):
+        shared = spark.sparkContext.broadcast(pieces._blob(given))
+
+        def look(_, shared=shared):
+            found = pieces._held(shared)
+            yield [a if a is None else a.tolist() for a in found], [a is None or a.flags.aligned for a in found], hasattr(shared, "_value")
+
+        values, aligned, copied = spark.sparkContext.parallelize([0], 1).mapPartitions(look).first()
+        assert values == [a if a is None else a.tolist() for a in given] and all(aligned) and not copied
+    assert all(np.array_equal(a, b) for a, b in zip(arrays, pieces._arrays(pieces._blob(arrays)), strict=True) if a is not None)
+
+
 def test_encode_empty_table(spark):
     assert pieces.encode_and_check(frame(spark, ["x"]).limit(0), pieces.public_model()).count() == 0
 
