@@ -10,13 +10,16 @@ the bottom where it is negative, and knows of each candidate
 * an upper bound: what was read of it, and for the rest where reading stands.
 
 Candidates whose upper bound is under the k-th best score of the portions before,
-or, in the first portion, under the k-th best lower bound, are outsiders.  Each query stops on its own,
+or, in the first portion, under the k-th best lower bound, are outsiders.  Queries read the lists side by
+side, so that the bounds of a step are products of matrices; each query stops on its own,
 when so few others are left that resolving their scores takes less than the next
 step; a portion whose lists begin too low is not read at all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,64 +28,79 @@ from pyspark.sql import functions as F
 BLOCK = 16_384  # candidates in a block
 QUERY_BLOCK = 1024
 PORTION = 2048  # candidates whose lists are read together
+TOGETHER = 512  # queries that read them side by side
 FIRST = 32  # the first step reads one FIRST-th of each list, each further one twice the last
 SCHEMA = "query_id long, vec_id long, score long"
 
 
 def exact_kind(x: np.ndarray, q: np.ndarray):
-    """A type in which all sums of products are exact."""
+    """The narrowest type in which all sums of products are exact."""
     most = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, x.shape[1])
-    return np.float64 if most < 1 << 53 else np.int64
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+
+
+def least_of(kind):
+    """Less than any score."""
+    return np.iinfo(np.int64).min if kind == np.int64 else -np.inf
 
 
 class Lists:
-    """A portion of the candidates with a sorted list for every dimension."""
+    """A portion of the candidates with a sorted list for every dimension, read from both ends in step."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         self.order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(x, self.order, axis=0)
-
-
-def survivors(q: np.ndarray, lists: Lists, own: np.ndarray, k: int, bar, read: dict) -> np.ndarray:
-    """The candidates that can be among the k best and have ``bar`` or more; ``own`` ones take no part.
+        self.dims = np.arange(x.shape[1])
+
+    def steps(self) -> Iterator[tuple]:
+        """After each step: how many of every list are read, how many the next step reads, and of every candidate
+        and dimension what was read, and where reading stands for what was not, from the top and from the bottom;
+        then the same with the lists' far ends for what was not read, made when asked for."""
+        n, at, step = len(self.ids), 0, max(1, len(self.ids) // FIRST)
+        top, bottom = np.empty_like(self.x), np.empty_like(self.x)
+        rest = np.ones((2, *self.x.shape), bool)
+        while at < n:
+            to = min(n, at + step)
+            for known, unread, rows, edge in ((top, rest[0], slice(n - to, n - at), n - to), (bottom, rest[1], slice(at, to), to - 1)):
+                who = self.order[rows]
+                known[who, self.dims] = self.values[rows]
+                unread[who, self.dims] = False
+                np.copyto(known, self.values[edge], where=unread)
+            at, step = to, 2 * step
+            yield at, step, top, bottom, lambda: (np.where(rest[0], self.values[0], top), np.where(rest[1], self.values[-1], bottom))
+
+
+def survivors(q: np.ndarray, lists: Lists, own: np.ndarray, bar: np.ndarray, k: int, read: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, candidates that can be among its k best and have ``bar`` or more) for every query that has any.
+
+    The queries read the lists side by side, and each stops on its own.  own[i, j]: candidate j takes no part
+    in query i.  bar: the k-th best score of the portions before, ``least_of`` where they did not give k.
 
     read["list"] counts the components that were read."""
-    n, dims = len(lists.ids), np.flatnonzero(q)
-    alive = np.flatnonzero(~own)
-    if not len(dims) or len(alive) <= k:
-        return alive
-    up = q[dims] > 0
-    sides = [(dims[up], q[dims[up]], 1), (dims[~up], q[dims[~up]], -1)]
-    far = np.concatenate([w * lists.values[0 if s > 0 else -1, d] for d, w, s in sides])
-    near = np.concatenate([w * lists.values[-1 if s > 0 else 0, d] for d, w, s in sides])
-    if bar is not None and near.sum() < bar:
-        return alive[:0]
-    given = bar is not None
-    seen, unread, at, step = np.zeros(n, q.dtype), np.ones((n, len(dims)), q.dtype), 0, max(1, n // FIRST)
-    while at < n:
-        to, first, frontier = min(n, at + step), 0, []
-        for d, w, s in sides:
-            rows = slice(at, to) if s < 0 else slice(n - to, n - at)
-            who, what = lists.order[rows, :][:, d], lists.values[rows, :][:, d] * w
-            if q.dtype == np.float64:
-                seen += np.bincount(who.ravel(), what.ravel(), n)
-            else:
-                np.add.at(seen, who, what)
-            unread[who, np.arange(first, first + len(d))] = 0
-            frontier.append(what[-1 if s < 0 else 0])
-            first += len(d)
-        read["list"] += (to - at) * len(dims)
-        at, step = to, 2 * step
-        if not given:
-            # no portion before gave k scores: the k-th best lower bound takes their place
-            least = np.partition((seen + unread @ far)[alive], len(alive) - k)[len(alive) - k]
-            bar = least if bar is None else max(bar, least)
+    n, none, before = len(lists.ids), least_of(q.dtype), 0
+    up, down, used = np.maximum(q, 0), np.minimum(q, 0), np.count_nonzero(q, axis=1)
+    bar, given = bar.copy(), bar > none
+    going = np.flatnonzero(up @ lists.values[-1] + down @ lists.values[0] >= bar)
+    for at, step, top, bottom, far in lists.steps():
+        if not len(going):
+            return
+        read["list"] += (at - before) * int(used[going].sum())
+        before = at
+        fresh = going[~given[going]]
+        if len(fresh) and n >= k:
+            # the k-th best lower bound takes the place of the k-th best score
+            top_far, bottom_far = far()
+            least = up[fresh] @ top_far.T + down[fresh] @ bottom_far.T
+            least[own[fresh]] = none
+            bar[fresh] = np.maximum(bar[fresh], np.partition(least, n - k, axis=1)[:, n - k])
         # equal bounds may still win by id, so only smaller ones are outsiders
-        alive = alive[(seen + unread @ np.concatenate(frontier))[alive] >= bar]
-        if len(alive) <= step:
-            break
-    return alive
+        alive = (up[going] @ top.T + down[going] @ bottom.T >= bar[going, None]) & ~own[going]
+        left = np.count_nonzero(alive, axis=1)
+        done = (left <= step) | (at == n)
+        for i in np.flatnonzero(done & (left > 0)):
+            yield int(going[i]), np.flatnonzero(alive[i])
+        going = going[~done]
 
 
 def nra_topk(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int, read: dict | None = None) -> list[tuple[int, int, int]]:
@@ -94,16 +112,20 @@ def nra_topk(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k:
     read |= {"list": 0, "final": 0}
     kind = exact_kind(x, q)
     q, x = q.astype(kind), x.astype(kind)
+    none = least_of(kind)
     best: list[list] = [[] for _ in qid]
     for at in range(0, len(x), PORTION):
         lists = Lists(vid[at : at + PORTION], x[at : at + PORTION])
-        for i in range(len(qid)):
-            bar = -best[i][k - 1][0] if len(best[i]) >= k else None
-            left = survivors(q[i], lists, lists.ids == qid[i], k, bar, read)
-            if len(left):
+        for begin in range(0, len(qid), TOGETHER):
+            some = range(begin, min(len(qid), begin + TOGETHER))
+            bar = np.array([-best[i][k - 1][0] if len(best[i]) >= k else none for i in some], kind)
+            own = qid[begin : begin + TOGETHER, None] == lists.ids
+            for i, left in survivors(q[begin : begin + TOGETHER], lists, own, bar, k, read):
                 read["final"] += lists.x.shape[1] * len(left)
-                scores = (lists.x[left] @ q[i]).astype(np.int64)
-                best[i] = sorted(best[i] + list(zip((-scores).tolist(), lists.ids[left].tolist(), strict=True)))[:k]
+                scores = (lists.x[left] @ q[begin + i]).astype(np.int64)
+                good = scores >= bar[i]
+                scores, left = scores[good], left[good]
+                best[begin + i] = sorted(best[begin + i] + list(zip((-scores).tolist(), lists.ids[left].tolist(), strict=True)))[:k]
     return [(int(i), v, -s) for i, found in zip(qid, best, strict=True) for s, v in found]
 
 

@@ -341,6 +341,25 @@ def test_reading_stops_early():
     assert read["list"] + read["final"] < 0.6 * 20 * x.size
 
 
+def test_queries_read_the_lists_together(monkeypatch):
+    """The passes over a portion's lists do not grow with the queries, and every query keeps its own results."""
+    import numpy as np
+
+    calls, one = [], topk.survivors
+    monkeypatch.setattr(topk, "survivors", lambda q, *args: calls.append(1) or one(q, *args))
+    rng = np.random.default_rng(4)
+    x = rng.integers(-128, 128, (topk.PORTION + 500, 8))
+    x[100:140] = x[7]  # equal scores
+    ids = np.arange(len(x)) // 2 * 2  # two rows of every id
+    got = topk.nra_topk(ids[:300], x[:300], ids, x, 5)
+    assert len(calls) <= 4
+    scores = x[:300] @ x.T
+    want = []
+    for i in range(300):
+        want += [(ids[i], j, -s) for s, j in sorted((-s, j) for s, j in zip(scores[i].tolist(), ids.tolist(), strict=True) if j != ids[i])[:5]]
+    assert got == want
+
+
 @pytest.mark.parametrize("scale", [1, 10**6, 10**13])
 def test_topk_is_exact_at_any_size(scale):
     import numpy as np
