@@ -39,7 +39,8 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 COUNT_CHUNK = 8 << 20
-ENCODE_CHUNK = 2 << 20
+ENCODE_CHUNK = 4 << 20
+TABLE_CHARS = 512  # characters whose neighbours are looked up in a table
 PACK_ROWS = 1 << 16  # segments whose ids are brought into order at once
 TASK_SEGMENTS = 40_000  # distinct segments that one task folds
 
@@ -83,6 +84,19 @@ class PieceModel:
         pairs = {ord(a) << 21 | ord(b) for p in self.usable for a, b in zip(p, p[1:], strict=False)}
         return np.array(sorted(pairs), dtype=np.uint64)
 
+    @cached_property
+    def neighbour_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(code by character, whether two codes are neighbours) for the characters most often in such pairs; code 0 for all others."""
+        first, second = self.neighbours >> np.uint64(21), self.neighbours & np.uint64((1 << 21) - 1)
+        found, n = np.unique(np.concatenate([first, second]), return_counts=True)
+        found = np.sort(found[np.argsort(-n, kind="stable")[:TABLE_CHARS]]).astype(np.int64)
+        codes = np.zeros((found[-1] if len(found) else 0) + 2, np.int16)
+        codes[found] = np.arange(1, len(found) + 1)
+        table = np.zeros((len(found) + 1, len(found) + 1), bool)
+        a, b = (codes[np.minimum(x, len(codes) - 1).astype(np.int64)] for x in (first, second))
+        table[a, b] = (a > 0) & (b > 0)
+        return codes, table
+
     @cached_property
     def monotone(self) -> bool:
         """Whether the merges that build a piece come in the order of their scores, for every piece.
@@ -134,16 +148,18 @@ def load(path: str) -> PieceModel:
 # -- segments -----------------------------------------------------------------
 
 
-def _tokens(texts: pa.LargeStringArray, dummy: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _tokens(texts: pa.LargeStringArray, dummy: bool) -> tuple[np.ndarray, np.ndarray, pa.LargeStringArray]:
     """(offsets, codes, distinct) of the space-led tokens of each text, spaces escaped."""
     odd = pc.match_substring_regex(texts, f"  |^ | $|{SPACE}|^$" if dummy else ".*").to_numpy(zero_copy_only=False)
     plain = pc.split_pattern(pc.if_else(pa.array(odd), pa.scalar("", pa.large_string()), texts), " ")
     offsets = plain.offsets.to_numpy().astype(np.int64)
     coded = plain.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), [SPACE + w for w in coded.dictionary.to_pylist()]
+    large = pa.large_string()
+    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.binary_join_element_wise(pa.scalar(SPACE, large), coded.dictionary, pa.scalar("", large))
     offsets = offsets - offsets[0]
     if not odd.any():
         return offsets, codes, words
+    words = words.to_pylist()
     index = {w: i for i, w in enumerate(words)}
     parts, sizes = [], np.diff(offsets)
     for i in np.flatnonzero(odd):
@@ -172,24 +188,41 @@ def _tokens(texts: pa.LargeStringArray, dummy: bool) -> tuple[np.ndarray, np.nda
     merged[np.repeat(~odd, sizes)] = codes[regular]
     for i, c in parts:
         merged[out[i] : out[i + 1]] = c
-    return out, merged, words
+    return out, merged, pa.array(words, large)
+
+
+def _are_neighbours(chars: np.ndarray, model: PieceModel) -> np.ndarray:
+    """Whether each character and the next are neighbours in some piece."""
+    codes, table = model.neighbour_table
+    code = codes[np.minimum(chars, len(codes) - 1)]
+    found = table[code[:-1], code[1:]]
+    # the pairs of which the table knows one character at most
+    rest = np.flatnonzero((code[:-1] == 0) | (code[1:] == 0))
+    if len(rest):
+        pair = chars[rest].astype(np.uint64) << np.uint64(21) | chars[rest + 1]
+        at = np.minimum(np.searchsorted(model.neighbours, pair), max(0, len(model.neighbours) - 1))
+        found[rest] = model.neighbours[at] == pair if len(model.neighbours) else False
+    return found
 
 
 def segments(texts: pa.LargeStringArray, model: PieceModel) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(offsets, codes, distinct) of the segments of each text, spaces escaped."""
     offsets, codes, words = _tokens(texts, model.dummy_prefix)
-    joined = "".join(words)
-    if not joined:
+    if words.offset or not len(words):
+        words = pa.array(words.to_pylist(), pa.large_string())
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1) if len(words) else np.zeros(1, np.int64)
+    if not ends[-1]:
         return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64), []
-    chars = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    joined = words.buffers()[2].slice(0, int(ends[-1]))
+    raw = np.frombuffer(joined, np.uint8)
+    heads = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))  # where characters begin
+    chars = np.frombuffer(joined.to_pybytes().decode().encode("utf-32-le"), np.uint32)
+    starts = np.searchsorted(heads, ends)
     cut = np.ones(len(chars) + 1, bool)
-    pair = chars[:-1] << np.uint64(21) | chars[1:]
-    at = np.minimum(np.searchsorted(model.neighbours, pair), max(0, len(model.neighbours) - 1))
-    cut[1:-1] = model.neighbours[at] != pair if len(model.neighbours) else True
+    cut[1:-1] = ~_are_neighbours(chars, model)
     cut[starts] = True
     edges = np.flatnonzero(cut)
-    coded = pa.array([joined[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.large_string()).dictionary_encode()
+    coded = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(heads[edges].astype(np.int64)), joined).dictionary_encode()
     part = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     first = np.searchsorted(edges, starts)  # of each word's parts
     n = np.diff(first)

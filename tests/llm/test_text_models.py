@@ -88,6 +88,25 @@ def test_workers_map_the_shared_segments(spark):
     assert all(np.array_equal(a, b) for a, b in zip(arrays, pieces._arrays(pieces._blob(arrays)), strict=True) if a is not None)
 
 
+@pytest.mark.parametrize("known", [0, 2, 512])
+def test_segments_by_definition(known, monkeypatch):
+    """Cuts are where no piece holds the pair, whether the table knows both characters, one or none."""
+    monkeypatch.setattr(pieces, "TABLE_CHARS", known)
+    names = ["<unk>", "▁a", "ab", "b\u65e5", "\u65e5\U0001f600", "▁▁", "a", "b"]
+    model = pieces.PieceModel(tuple(names), (0.0,) * len(names), (2,) + (1,) * (len(names) - 1), pieces.BPE, True, 0)
+    pairs = {p[k : k + 2] for p in names[1:] for k in range(len(p) - 1)}
+    rng = random.Random(known)
+    texts = ["".join(rng.choice("ab \u65e5\U0001f600▁\u00e9\U0010ffff\n") for _ in range(rng.randrange(9))) for _ in range(400)]
+    offsets, codes, found = pieces.segments(pa.array(texts, pa.large_string()), model)
+    assert len(model.neighbour_table[1]) <= known + 1
+    for i, t in enumerate(texts):
+        got, whole = [found[c] for c in codes[offsets[i] : offsets[i + 1]]], "▁" + t.replace(" ", "▁") if t else ""
+        assert "".join(got) == whole
+        # a word's first character is cut off whatever it follows
+        assert all(a + b in pairs for x in got for a, b in zip(x, x[1:], strict=False))
+        assert all(a[-1] + b[0] not in pairs or b[0] == "▁" for a, b in zip(got, got[1:], strict=False))
+
+
 def test_encode_empty_table(spark):
     assert pieces.encode_and_check(frame(spark, ["x"]).limit(0), pieces.public_model()).count() == 0
 
