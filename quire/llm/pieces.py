@@ -39,7 +39,7 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 COUNT_CHUNK = 8 << 20
-ENCODE_CHUNK = 4 << 20
+ENCODE_CHUNK = 5 << 19
 TABLE_CHARS = 512  # characters whose neighbours are looked up in a table
 PACK_ROWS = 1 << 16  # segments whose ids are brought into order at once
 TASK_SEGMENTS = 40_000  # distinct segments that one task folds
@@ -569,6 +569,7 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
     packed = _packed(most_frequent(table, s).select("hi", "lo", "ids", *["cost", "steps"] * paths).toArrow())
     # a segment that shares half its hash with another is joined
     whole = len(packed[0]) == table.count()
+    relax()
     packed = _blob(packed)
     packed = spark.sparkContext.broadcast(packed)
     relax()
