@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding with a given model.
 
 Encoding is relational: texts are cut into segments across which no piece can
-reach, distinct segments are exploded into substrings of bounded length and
-equi-joined to the piece table, and the resulting lattice is grouped by segment
-and folded by a higher-order aggregate.  Viterbi finds the path of the best sum of
+reach, distinct segments are exploded into substrings of bounded length (those
+that a filter of hashes does not exclude) and equi-joined to the piece table, and
+the resulting lattice is grouped by segment and folded by a higher-order aggregate.  Viterbi finds the path of the best sum of
 scores, which is the encoding of a unigram model.  A BPE model is not scored by sums: there the fold applies, best score first, the
 edges that join two neighbouring symbols, which gives the ids of the public
 library; Viterbi over its scores does not.
@@ -18,6 +18,7 @@ import ast
 import functools
 import hashlib
 import heapq
+import json
 import mmap
 import os
 import pickle
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.store import materialize
-from quire.llm.textops import chunks, relax
+from quire.llm.textops import MIX, chunks, relax
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -42,7 +43,10 @@ COUNT_CHUNK = 8 << 20
 ENCODE_CHUNK = 5 << 19
 TABLE_CHARS = 512  # characters whose neighbours are looked up in a table
 PACK_ROWS = 1 << 16  # segments whose ids are brought into order at once
+GATHER_ROWS = 1 << 19  # segments that the driver gathers at once, about
 TASK_SEGMENTS = 40_000  # distinct segments that one task folds
+FILTER_BITS = 20  # of the hashes by which substrings are excluded before the join
+BEGINS, IS_PIECE = 1, 2
 
 
 @dataclass(frozen=True)
@@ -97,6 +101,37 @@ class PieceModel:
         table[a, b] = (a > 0) & (b > 0)
         return codes, table
 
+    @cached_property
+    def hash_filter(self) -> np.ndarray:
+        """By hash of a string: BEGINS if a piece may begin with it, IS_PIECE if it may be one.
+
+        Strings can share a hash, so the filter excludes; it does not find."""
+        out = np.zeros(1 << FILTER_BITS, np.uint8)
+        chars, n = np.frombuffer("".join(self.usable).encode("utf-32-le"), np.uint32), np.array([len(p) for p in self.usable], np.int64)
+        at, hashed = np.cumsum(n) - n, np.zeros(len(n), np.uint64)
+        for size in range(1, self.longest + 1):
+            long = n >= size
+            at, hashed, n = at[long], hashed[long], n[long]
+            hashed = hashed * MIX + chars[at + size - 1]
+            out[_slots(hashed)] |= BEGINS
+            out[_slots(hashed[n == size])] |= IS_PIECE
+        return out
+
+    @cached_property
+    def costs(self) -> list:
+        """The distinct costs (negated scores) of usable pieces, ascending, and last that of an unknown character."""
+        return [*sorted({-float(self.scores[i]) for i in self.usable.values()}), unk_cost(self)]
+
+    @cached_property
+    def whole(self) -> bool:
+        """Whether all costs are whole numbers of 31 bits, as those of trained BPE models are."""
+        return all(0 <= c < 1 << 31 and c.is_integer() for c in self.costs)
+
+    @cached_property
+    def ranks(self) -> dict:
+        """cost -> a number in the order of the costs: the cost itself if all are whole, else its place."""
+        return {c: int(c) if self.whole else i for i, c in enumerate(self.costs)}
+
     @cached_property
     def monotone(self) -> bool:
         """Whether the merges that build a piece come in the order of their scores, for every piece.
@@ -205,14 +240,15 @@ def _are_neighbours(chars: np.ndarray, model: PieceModel) -> np.ndarray:
     return found
 
 
-def segments(texts: pa.LargeStringArray, model: PieceModel) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(offsets, codes, distinct) of the segments of each text, spaces escaped."""
+def _parts(texts: pa.LargeStringArray, model: PieceModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(offsets, codes, first, part, distinct): the words of text i are codes[offsets[i] : offsets[i + 1]], the segments of word w are
+    part[first[w] : first[w + 1]], codes of the distinct ones; spaces escaped."""
     offsets, codes, words = _tokens(texts, model.dummy_prefix)
     if words.offset or not len(words):
         words = pa.array(words.to_pylist(), pa.large_string())
     ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1) if len(words) else np.zeros(1, np.int64)
     if not ends[-1]:
-        return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64), []
+        return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64), np.empty(0, np.int64), []
     joined = words.buffers()[2].slice(0, int(ends[-1]))
     raw = np.frombuffer(joined, np.uint8)
     heads = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))  # where characters begin
@@ -224,63 +260,98 @@ def segments(texts: pa.LargeStringArray, model: PieceModel) -> tuple[np.ndarray,
     edges = np.flatnonzero(cut)
     coded = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(heads[edges].astype(np.int64)), joined).dictionary_encode()
     part = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    first = np.searchsorted(edges, starts)  # of each word's parts
-    n = np.diff(first)
-    per = n[codes]
-    begin = np.repeat(first[:-1][codes] - np.concatenate([[0], np.cumsum(per)[:-1]]), per)
-    expanded = part[begin + np.arange(len(begin))]
-    text_ends = np.concatenate([[0], np.cumsum(per)])[offsets]
-    return text_ends, expanded, coded.dictionary.to_pylist()
+    return offsets, codes, np.searchsorted(edges, starts), part, coded.dictionary.to_pylist()
+
+
+def segments(texts: pa.LargeStringArray, model: PieceModel) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(offsets, codes, distinct) of the segments of each text, spaces escaped."""
+    offsets, codes, first, part, distinct = _parts(texts, model)
+    start, n = span(first, codes)
+    return np.concatenate([[0], np.cumsum(n)])[offsets], gather(start, n, part), distinct
+
+
+def segment_counts(texts: pa.LargeStringArray, model: PieceModel) -> tuple[list[str], np.ndarray]:
+    """The distinct segments and how often each occurs, counted by distinct words."""
+    _, codes, first, part, distinct = _parts(texts, model)
+    words = np.bincount(codes, minlength=len(first) - 1)
+    n = np.bincount(part, weights=np.repeat(words, np.diff(first)), minlength=len(distinct))
+    return distinct, n.astype(np.int64)
 
 
 # -- folding ------------------------------------------------------------------
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    """``piece, cost, rank``: as many rows as the model has pieces.
+    """``piece, rank``: as many rows as the model has pieces."""
+    return spark.createDataFrame([(p, model.ranks[-float(model.scores[i])]) for p, i in model.usable.items()], "piece string, rank long")
+
 
-    cost is the negated score, rank its place among the model's scores."""
-    place = {c: i for i, c in enumerate(sorted({-model.scores[i] for i in model.usable.values()}))}
-    rows = [(p, -float(model.scores[i]), place[-model.scores[i]]) for p, i in model.usable.items()]
-    return spark.createDataFrame(rows, "piece string, cost double, rank long")
+def _slots(hashed: np.ndarray) -> np.ndarray:
+    return hashed * MIX >> np.uint64(64 - FILTER_BITS)
 
 
-def substrings(segs: DataFrame, least: int, longest: int) -> DataFrame:
-    """``seg, n, s, e, sub``: every substring of ``least`` to ``longest`` characters, by end and start: what is grouped is nearly sorted."""
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(least), F.char_length("seg")),
-            lambda e: F.transform(F.sequence(F.greatest(e - longest, F.lit(0)), e - least), lambda s: F.struct(s.alias("s"), e.alias("e"))),
-        )
-    )
-    sub = F.substring(F.col("seg"), F.col("x.s") + 1, F.col("x.e") - F.col("x.s"))
-    return segs.select("seg", "n", F.explode(spans).alias("x")).select("seg", "n", "x.s", "x.e", sub.alias("sub"))
+def spans(segs: list[str], model: PieceModel, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, spans) of the substrings of each segment that may be pieces of ``least`` characters or more, as
+    end << 8 | start, and at least the first one of ``least`` characters; with ``least`` 1 every character is among them.
+
+    A start is left as soon as no piece begins like the characters from there."""
+    n = np.array([len(x) for x in segs], np.int64)
+    ends = np.cumsum(n)
+    chars = np.frombuffer("".join(segs).encode("utf-32-le"), np.uint32)
+    left = np.repeat(ends, n) - np.arange(len(chars))  # characters from here to the segment's end
+    found = np.zeros((len(chars), min(model.longest, n.max(initial=1))), bool)
+    at, hashed = np.arange(len(chars)), np.zeros(len(chars), np.uint64)
+    for size in range(1, found.shape[1] + 1):
+        hashed = hashed * MIX + chars[at + size - 1]
+        kind = model.hash_filter[_slots(hashed)]
+        if size >= least:
+            found[at, size - 1] = kind & IS_PIECE
+        more = (kind & BEGINS != 0) & (left[at] > size)
+        at, hashed = at[more], hashed[more]
+    if least == 1:
+        found[:, 0] = True
+    elif found.shape[1] >= least:
+        found[(ends - n)[n >= least], least - 1] = True
+    at, size = np.nonzero(found)
+    owner = np.repeat(np.arange(len(n)), n)[at]
+    start = at - (ends - n)[owner]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))])
+    return offsets, ((start + size + 1) << 8 | start).astype(np.int16)
+
+
+def substrings(segs: DataFrame) -> DataFrame:
+    """``seg, n, s, e, sub``: the substrings of each segment at its ``spans``."""
+    at = segs.select("seg", "n", F.explode("spans").alias("x")).select("seg", "n", F.expr("x & 255").cast("int").alias("s"), F.expr("shiftright(x, 8)").alias("e"))
+    return at.select("*", F.substring(F.col("seg"), F.col("s") + 1, F.col("e") - F.col("s")).alias("sub"))
+
+
+SINGLE = 1 << 47  # above every rank << 16
 
 
 def lattice(segs: DataFrame, pieces: DataFrame, model: PieceModel, paths: bool) -> DataFrame:
-    """``seg, n, edges, merges``: the pieces found in each segment, at most 48 characters long.
+    """``seg, n, edges, merges``: the pieces found in each segment of ``segs(seg, n, spans)``, at most 48 characters long.
 
     Substrings of bounded length are exploded, joined to the piece table (which
-    is broadcast: its size is fixed by the model) and grouped by segment.  edges
-    are (e, s, cost) in order, with an edge for every character: one without a
-    piece costs what an unknown one does; null unless ``paths``.  merges are, for a
-    BPE model, the pieces of two characters or more packed as rank << 16 | s << 8 |
-    e, so that ascending order is that of the merges: best score first, then
-    leftmost."""
-    least = 1 if paths else 2
-    subs = substrings(segs.where(F.char_length("seg") >= least), least, model.longest)
+    is broadcast: its size is fixed by the model) and grouped by segment.  merges are
+    the pieces of two characters or more packed as rank << 16 | s << 8 | e, so that
+    ascending order is that of a BPE model's merges: best score first, then
+    leftmost.  edges, null unless ``paths``, are the pieces packed as
+    e << 40 | s << 32 | rank, in order, with an edge for every character, marked by bit
+    31: one without a piece has the last rank, that of an unknown one.  Numbers are
+    grouped in half the time that structs take, and both lists come from one."""
+    subs = substrings(segs)
     single = F.col("e") - F.col("s") == 1
     # the first substring of a segment stays without a piece too, so that no segment is lost
     hit = subs.join(F.broadcast(pieces), subs["sub"] == pieces["piece"], "left").where(F.col("rank").isNotNull() | (F.col("s") == 0) | single)
-    edge = F.when(single, F.struct("e", "s", F.coalesce("cost", F.lit(unk_cost(model))).alias("cost"))).when(F.col("cost").isNotNull(), F.struct("e", "s", "cost"))
-    merge = F.when(~single, F.shiftleft("rank", 16) + F.col("s") * 256 + F.col("e"))
-    none = F.lit(None).cast(f"array<{EDGE}>")
-    grouped = hit.groupBy("seg", "n").agg(
-        F.sort_array(F.collect_list(edge)).alias("edges") if paths else F.first(none).alias("edges"),
-        F.sort_array(F.collect_list(merge)).alias("merges"),
-    )
+    rank = F.when(single, F.coalesce("rank", F.lit(model.ranks[model.costs[-1]]).cast("long"))).otherwise(F.col("rank"))
+    packed = F.shiftleft(rank, 16) + F.col("s") * 256 + F.col("e") + F.when(single, F.lit(SINGLE)).otherwise(0)
+    grouped = hit.groupBy("seg", "n").agg(F.sort_array(F.collect_list(packed)).alias("found"))
+    none = F.lit(None).cast("array<bigint>")
     if paths:
-        return grouped
+        # there is one single character for each, and they come last
+        edges = F.expr("sort_array(transform(found, x -> shiftleft(x & 255, 40) | shiftleft(x & 65280, 24) | (shiftright(x, 16) & 4294967295)))")
+        return grouped.select("seg", "n", edges.alias("edges"), F.expr("slice(found, 1, size(found) - char_length(seg))").alias("merges"))
+    grouped = grouped.select("seg", "n", none.alias("edges"), F.col("found").alias("merges"))
     return grouped.unionByName(segs.where("char_length(seg) = 1").select("seg", "n", none.alias("edges"), F.array().cast("array<bigint>").alias("merges")))
 
 
@@ -300,28 +371,31 @@ aggregate(sequence(1, greatest(1, char_length(seg) - 1)), {_ALL}, (mask, i) ->
 """
 
 
-EDGE = "struct<e:int,s:int,cost:double>"
-#: Edges come by their end: the best path to a position is known when the next end begins.  A path is
-#: its cost and its boundaries as a mask; ties go to the longer last piece.
-FOLD_VITERBI = f"""
+def fold_viterbi(cost: str) -> str:
+    """Edges come by their end, the single character last: then the best path to that end is known and
+    kept, by position.  A path is its cost and its boundaries as a mask; ties go to the longer last piece.
+    ``cost`` is that of edge x."""
+    came = "st.done[shiftright(x, 32) & 255]"
+    cost, mask = f"({came}.cost + {cost})", f"({came}.mask | shiftleft(1L, cast(shiftright(x, 40) as int)))"
+    return f"""
 aggregate(edges,
-  struct(array(struct(0D AS cost, 0L AS mask)) AS done, cast(null AS struct<e:int,cost:double,mask:bigint>) AS now),
-  (st, x) -> if(st.now.e = x.e,
-    if(st.done[x.s].cost + x.cost < st.now.cost,
-       struct(st.done AS done, struct(x.e AS e, st.done[x.s].cost + x.cost AS cost, st.done[x.s].mask | shiftleft(1L, x.e) AS mask) AS now), st),
-    if(st.now IS NOT NULL AND x.s = st.now.e,
-       struct(concat(st.done, array(struct(st.now.cost AS cost, st.now.mask AS mask))) AS done,
-              struct(x.e AS e, st.now.cost + x.cost AS cost, st.now.mask | shiftleft(1L, x.e) AS mask) AS now),
-       struct(if(st.now IS NULL, st.done, concat(st.done, array(struct(st.now.cost AS cost, st.now.mask AS mask)))) AS done,
-              struct(x.e AS e, st.done[x.s].cost + x.cost AS cost, st.done[x.s].mask | shiftleft(1L, x.e) AS mask) AS now))),
-  st -> st.now)
+  struct(array(struct(0D AS cost, 0L AS mask)) AS done, double('infinity') AS cost, 0L AS mask),
+  (st, x) -> if((x & {1 << 31}) = 0,
+    if({cost} < st.cost, struct(st.done AS done, {cost} AS cost, {mask} AS mask), st),
+    struct(concat(st.done, array(if({cost} < st.cost, struct({cost} AS cost, {mask} AS mask), struct(st.cost AS cost, st.mask AS mask)))) AS done,
+           double('infinity') AS cost, 0L AS mask)),
+  st -> element_at(st.done, -1))
 """
 
 
 def fold(edges: DataFrame, model: PieceModel, paths: bool) -> DataFrame:
     """``seg, n, mask, best``: the boundaries of each segment's symbols, bit i before character i,
     and the best path by the sum of scores (cost, mask), null unless ``paths``."""
-    best = F.expr(FOLD_VITERBI) if paths else F.lit(None).cast("struct<e:int,cost:double,mask:bigint>")
+    rank = f"(x & {(1 << 31) - 1})"
+    if paths and not model.whole:
+        # one literal, which the planner reads once
+        edges = edges.withColumn("costs", F.from_json(F.lit(json.dumps(model.costs)), "array<double>"))
+    best = F.expr(fold_viterbi(rank if model.whole else f"costs[{rank}]")) if paths else F.lit(None).cast("struct<cost:double,mask:bigint>")
     if model.kind == BPE:
         return edges.select("seg", "n", F.expr(FOLD_BPE_ONCE if model.monotone else FOLD_BPE).alias("mask"), best.alias("best"))
     return edges.select("seg", "n", best.alias("best")).select("seg", "n", F.col("best.mask").bitwiseOR(F.lit(1)).alias("mask"), "best")
@@ -398,8 +472,14 @@ def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, "text", COUNT_CHUNK):
-            _, codes, segs = segments(texts, shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array(segs, pa.string()), pa.array(np.bincount(codes, minlength=len(segs)).astype(np.int64))], names=["seg", "n"])
+            segs, n = segment_counts(texts, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(segs, pa.string()), pa.array(n)], names=["seg", "n"])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, found = spans(batch.column("seg").to_pylist(), shared.value, 1 if paths else 2)
+            cols = [batch.column("seg"), batch.column("n"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found))]
+            yield pa.RecordBatch.from_arrays(cols, names=["seg", "n", "spans"])
 
     def finished(batch: pa.RecordBatch, ids: list, cost, steps) -> pa.RecordBatch:
         hi, lo = _hashes(batch.column("seg").to_pylist())
@@ -424,7 +504,7 @@ def encode_segments(docs: DataFrame, model: PieceModel, s: Settings = Settings()
     found = materialize(found)
     short = F.char_length("seg") <= s.lattice_chars
     # dealt by segment before the explosion, so that grouping its edges needs no exchange
-    dealt = found.where(short).repartition(max(1, found.count() // TASK_SEGMENTS), "seg")
+    dealt = found.where(short).mapInArrow(candidates, "seg string, n long, spans array<smallint>").repartition(max(1, found.count() // TASK_SEGMENTS), "seg")
     folded = fold(lattice(dealt, piece_table(spark, model), model, paths), model, paths)
     folded = folded.select("seg", "n", "mask", F.col("best.cost").alias("cost"), F.bit_count("best.mask").cast("int").alias("steps"))
     ids = "seg string, n long, hi long, lo long, ids array<int>, cost double, steps int"
@@ -464,6 +544,23 @@ def _packed(table: pa.Table) -> tuple:
     return hi, lo, ends.astype(np.uint32 if ends[-1] < 1 << 32 else np.int64), flat, *path
 
 
+def _gathered(frequent: DataFrame, rows: int) -> tuple:
+    """The packed table of ``frequent``, of about so many rows: gathered by ranges of hashes, so that
+    the driver holds a part of it as Arrow data and narrow arrays of the rest."""
+    bits = max(0, -(-rows // GATHER_ROWS) - 1).bit_length()
+    parts = []
+    for k in range(1 << bits):
+        part = frequent.where(F.expr(f"shiftrightunsigned(hi, {64 - bits}) = {k}")) if bits else frequent
+        parts.append(_packed(part.toArrow()))
+        relax()
+    if not bits:
+        return parts[0]
+    before = np.cumsum([0, *(len(p[3]) for p in parts)])
+    ends = np.concatenate([p[2][:-1] + b for p, b in zip(parts, before, strict=False)] + [before[-1:]])
+    rest = [None if p is None else np.concatenate([q[i] for q in parts]) for i, p in enumerate(parts[0]) if i != 2]
+    return *rest[:2], ends.astype(np.uint32 if before[-1] < 1 << 32 else np.int64), *rest[2:]
+
+
 MAGIC = b"quire packed arrays 1 "
 
 
@@ -533,6 +630,13 @@ def gather(starts: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return flat[np.repeat(starts - ends[:-1], n) + np.arange(ends[-1])]
 
 
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The sum of each values[bounds[i] : bounds[i + 1]]."""
+    upto = np.zeros(len(values) + 1)
+    np.cumsum(values, dtype=np.float64, out=upto[1:])
+    return np.diff(upto[bounds])
+
+
 def _columns(doc_id, bounds: np.ndarray, ids: np.ndarray, model: PieceModel | None, path: tuple | None) -> pa.RecordBatch:
     """doc_id and ids; with a model also their number and a digest of the text decoded from them; with a path its pieces and cost."""
     values = pa.array(ids, pa.int32())
@@ -566,9 +670,10 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
     """
     spark = docs.sparkSession
     table = encode_segments(docs, model, s, paths)
-    packed = _packed(most_frequent(table, s).select("hi", "lo", "ids", *["cost", "steps"] * paths).toArrow())
+    known = table.count()
+    packed = _gathered(most_frequent(table, s).select("hi", "lo", "ids", *["cost", "steps"] * paths), min(known, s.shared_rows))
     # a segment that shares half its hash with another is joined
-    whole = len(packed[0]) == table.count()
+    whole = len(packed[0]) == known
     relax()
     packed = _blob(packed)
     packed = spark.sparkContext.broadcast(packed)
@@ -578,30 +683,40 @@ def encode(docs: DataFrame, model: PieceModel, s: Settings = Settings(), check:
     more = ", path_pieces long, path_cost double" if paths else ""
     schema = (f"doc_id {kind}, n_tokens long, ids array<int>, decoded_sha256 string" if check else f"doc_id {kind}, ids array<int>") + more
 
-    def look_up(texts):
-        first, second, ends, flat, cost, steps = _held(packed)
-        offsets, codes, segs = segments(texts, shared.value)
+    def rows_of(segs):
+        """The row of each segment in the table, -1 if it has none."""
+        first, second, *_ = _held(packed)
         hi, lo = _hashes(segs)
-        at = np.minimum(np.searchsorted(first, hi), max(0, len(first) - 1))
+        order = np.argsort(hi)  # ascending keys are looked up in near memory
+        at = np.empty(len(hi), np.int64)
+        at[order] = np.minimum(np.searchsorted(first, hi[order]), max(0, len(first) - 1))
         known = (first[at] == hi) & (second[at] == lo) if len(first) else np.zeros(len(hi), bool)
-        row = np.where(known, at, -1)[codes]
+        return np.where(known, at, -1)
+
+    def look_up(texts):
+        _, _, ends, flat, cost, steps = _held(packed)
+        offsets, codes, segs = segments(texts, shared.value)
+        row = rows_of(segs)[codes]
         path = None
         if paths:
             # sums of each text as differences of a running sum; what is not shared counts nothing here
             path = []
             for x in (cost, steps):
-                upto = np.zeros(len(row) + 1)
-                if len(x):
-                    np.cumsum(np.where(row >= 0, x[row], 0), out=upto[1:])
-                path.append(np.diff(upto[offsets]))
+                path.append(_sums(np.where(row >= 0, x[row], 0) if len(x) else np.zeros(len(row)), offsets))
         return offsets, codes, segs, row, ends, flat, path
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text", ENCODE_CHUNK):
-            offsets, _, _, row, ends, flat, path = look_up(texts)
+            _, _, ends, flat, cost, steps = _held(packed)
+            offsets, codes, first, part, segs = _parts(texts, shared.value)
+            row = rows_of(segs)[part]
+            # the ids of each distinct word, then those of each text's words
             start, n = span(ends, row)
-            ids = gather(start, n, flat)
+            word_ids, word_ends = gather(start, n, flat), np.concatenate([[0], np.cumsum(n)])[first]
+            start, n = span(word_ends, codes)
+            ids = gather(start, n, word_ids)
             bounds = np.concatenate([[0], np.cumsum(n)])[offsets]
+            path = [_sums(_sums(x[row], first)[codes], offsets) for x in (cost, steps)] if paths else None
             yield _columns(batch.column("doc_id"), bounds, ids, shared.value if check else None, path)
 
     lean = docs.select("doc_id", "text")

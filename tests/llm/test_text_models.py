@@ -88,6 +88,20 @@ def test_workers_map_the_shared_segments(spark):
     assert all(np.array_equal(a, b) for a, b in zip(arrays, pieces._arrays(pieces._blob(arrays)), strict=True) if a is not None)
 
 
+@pytest.mark.parametrize("paths", [False, True])
+def test_the_table_is_gathered_by_ranges(spark, paths, monkeypatch):
+    rng = random.Random(7)
+    rows = [(rng.getrandbits(64) - (1 << 63), i, [rng.choice([5, 70_000 if i == 9 else 6])] * rng.randint(0, 3), i / 3, i) for i in range(300)]
+    table = spark.createDataFrame(rows, "hi long, lo long, ids array<int>, cost double, steps int").select("hi", "lo", "ids", *["cost", "steps"] * paths)
+    want = pieces._gathered(table, 300)
+    asked, packed = [], pieces._packed
+    monkeypatch.setattr(pieces, "GATHER_ROWS", 50)
+    monkeypatch.setattr(pieces, "_packed", lambda t: asked.append(t.num_rows) or packed(t))
+    got = pieces._gathered(table, 300)
+    assert len(asked) == 8 and sum(asked) == 300 and max(asked) < 100
+    assert all(np.array_equal(a, b) and a.dtype == b.dtype if b is not None else a is None for a, b in zip(got, want, strict=True))
+
+
 @pytest.mark.parametrize("known", [0, 2, 512])
 def test_segments_by_definition(known, monkeypatch):
     """Cuts are where no piece holds the pair, whether the table knows both characters, one or none."""
@@ -107,6 +121,45 @@ def test_segments_by_definition(known, monkeypatch):
         assert all(a[-1] + b[0] not in pairs or b[0] == "▁" for a, b in zip(got, got[1:], strict=False))
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_few_substrings_are_exploded_and_no_piece_is_missed(spark, least):
+    model, rng = pieces.public_model(), random.Random(4)
+    segs = sorted({"".join(rng.choice(["th", "er", "ing", "▁", "é", "中", "x", "schaft", "Q"]) for _ in range(rng.randint(1, 9))) for _ in range(500)})
+    offsets, found = pieces.spans(segs, model, least)
+    got = [{(x & 255, x >> 8) for x in found[a:b].tolist()} for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    want = [{(s, e) for s in range(len(x)) for e in range(s + least, len(x) + 1) if x[s:e] in model.usable or least == 1 == e - s} for x in segs]
+    assert len(found) == sum(map(len, got)) and all(w <= g for w, g in zip(want, got, strict=True))
+    assert all(g for x, g in zip(segs, got, strict=True) if len(x) >= least)
+    # all substrings were exploded before
+    assert len(found) < 1.2 * (sum(map(len, want)) + (least - 1) * len(segs)) < 0.6 * sum(n * (n + 1) // 2 for n in map(len, segs))
+    table = spark.createDataFrame([(x, 1, found[a:b].tolist()) for x, a, b in zip(segs, offsets[:-1], offsets[1:], strict=True)], "seg string, n long, spans array<smallint>")
+    rows = {(r.seg, r.s, r.e, r.sub) for r in pieces.substrings(table).collect()}
+    assert rows == {(x, s, e, x[s:e]) for x, g in zip(segs, got, strict=True) for s, e in g}
+
+
+def test_segments_are_counted_by_words():
+    model, rng = pieces.public_model(), random.Random(5)
+    texts = pa.array([" ".join(rng.choice(["the", "a1b2", "", "Straße", "中x", "the\nend"]) for _ in range(rng.randint(0, 40))) for _ in range(50)], pa.large_string())
+    _, codes, segs = pieces.segments(texts, model)
+    found, n = pieces.segment_counts(texts, model)
+    assert found == segs and n.tolist() == np.bincount(codes, minlength=len(segs)).tolist()
+    assert pieces.segment_counts(texts.slice(0, 0), model)[0] == []
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.3])
+def test_paths_with_whole_and_other_costs(spark, scale):
+    """Whole costs are packed as they are, others by their place."""
+    rng = random.Random(6)
+    names = ["<unk>", "▁", "a", "b", *sorted({rng.choice("▁ab") + "".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(30)})]
+    scores = tuple(-scale * rng.randint(1, 40) for _ in names)
+    model = pieces.PieceModel(tuple(names), scores, (2,) + (1,) * (len(names) - 1), pieces.BPE, True, 0)
+    assert model.whole == (scale == 1.0)
+    texts = ["".join(rng.choice("abc ") for _ in range(25)) for _ in range(30)]
+    got = {r.doc_id: r.path_cost for r in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, paths=True).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(pieces.best_path("▁" + t.replace(" ", "▁"), model)[1])
+
+
 def test_encode_empty_table(spark):
     assert pieces.encode_and_check(frame(spark, ["x"]).limit(0), pieces.public_model()).count() == 0
 
